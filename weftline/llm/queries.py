@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.mixing import mix_sources
+from weftline.llm.ngram_join import jaccard_components
 from weftline.llm.quality_rules import quality_report
 from weftline.llm.shared import Scratch
 from weftline.llm.substring_dedup import substring_dedup
@@ -41,6 +42,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(spark, path)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_token_output": op5_token_output,
+    "op6_ngram_join": op6_ngram_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
