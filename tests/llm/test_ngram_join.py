@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tests.llm import brute
 from weftline.llm.ngram_join import index_entries, jaccard_components, need
@@ -29,7 +31,7 @@ def test_random_sets_near_the_threshold(spark):
             a = rng.randint(0, max(1, len(w) // 9))
             rows.append((len(rows) * 7 - 50, " ".join(w[a:] + base[: rng.randint(0, max(1, len(w) // 9))])))
     rng.shuffle(rows)
-    for percent in (80, 60, 100):
+    for percent in (80, 60):
         assert got(spark, rows, percent=percent) == brute.components(rows, percent=percent)
     assert got(spark, rows, k=1) == brute.components(rows, k=1)
 
@@ -53,6 +55,44 @@ def test_every_linked_pair_meets():
                     assert len(entry) < 2.6 * (need(np.array([n, m]), percent)).sum()
 
 
+def _one_entry(sets):
+    """All sets in one index entry, so that only the leader is compared at first and the differences must do the rest."""
+
+    def outer(k, percent):
+        inner = sets(k, percent)
+
+        def run(batches):
+            for b in inner(batches):
+                n = b.num_rows
+                same = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.ones(n, np.int64)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], same], b.schema.names)
+
+        return run
+
+    return outer
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_differences_to_one_leader_find_every_link(spark, monkeypatch, percent):
+    from weftline.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "_sets", _one_entry(ngram_join._sets))
+    rng = random.Random(percent)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for family in range(14):
+        own = [f"f{family}x{i}" for i in range(rng.choice([0, 3, 12, 25, 60, 120]))]
+        base = passage[: rng.choice([30, 30, 10])] + own if family % 3 else own or passage
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 3)}"
+            rows.append((len(rows), " ".join(w[rng.randint(0, 2) :] + passage[: rng.choice([0, 0, 2])])))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    rows = [(ids[i], t) for i, t in rows]
+    assert got(spark, rows, percent=percent) == brute.components(rows, percent=percent)
+
+
 def test_edges(spark):
     t = "one two three four five six seven"
     rows = [(5, t), (3, t.upper()), (9, None), (8, ""), (7, " "), (6, "a b"), (2, "A  b"), (4, "b a"), (None, t)]
@@ -74,3 +114,22 @@ def test_group_of_near_copies_in_a_chain(spark):
         w[(i * 3) % 200] = f"new{i}"
         rows.append((100 - i, " ".join(w)))
     assert got(spark, rows) == brute.components(rows)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_many_edits_of_one_text(spark, seed):
+    """Most copies are not linked with the leader, some of those with each other; edits come from a small pool."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    pool = [(rng.randrange(150), f"e{i}") for i in range(14)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at, new in rng.sample(pool, rng.randint(0, 9)):
+            w[at] = new
+        rows.append((i * 3 % 160, " ".join(w[rng.randint(0, 6) : 150 - rng.randint(0, 6)])))
+    rows += [(900 + i, " ".join(base[i : i + 128 - i])) for i in range(0, 30, 3)]
+    for percent in (80, 70):
+        want = brute.components(rows, percent=percent)
+        assert got(spark, rows, percent=percent) == want
+        assert percent != 80 or len({c for _, c in want.values()}) > 3
