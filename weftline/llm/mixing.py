@@ -53,7 +53,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float,
     level = (F.lit(float(budget)) * F.sum("mix_size").over(everything) - F.coalesce(F.sum("mix_cap").over(before), F.lit(0.0))) / (F.sum("mix_weight").over(everything) - F.coalesce(F.sum("mix_weight").over(before), F.lit(0)))
     s = s.withColumn("mix_level", level)
     s = s.withColumn("mix_open", F.col("mix_level") * F.col("mix_weight") <= F.col("mix_cap"))
-    s = s.withColumn("mix_level", F.min_by(F.when(F.col("mix_open"), F.col("mix_level")), F.when(F.col("mix_open"), F.col("mix_cap") / F.col("mix_weight"))).over(everything))
+    # the first such source has the level; later ones compute lower ones, so it is the largest
+    s = s.withColumn("mix_level", F.max(F.when(F.col("mix_open"), F.col("mix_level"))).over(everything))
     target = F.least(F.col("mix_cap"), F.coalesce(F.col("mix_level") * F.col("mix_weight"), F.col("mix_cap")))
     return s.select("mix_source", "mix_size", "mix_weight", target.alias("mix_target"))
 
@@ -93,3 +94,31 @@ def mix_documents(docs: DataFrame, text_col: str = "text", **mix) -> DataFrame:
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0)), F.lit(1), left), "")
     text = F.when(left < F.col("mix_size"), cut).otherwise(F.col(text_col)).alias(text_col)
     return d.select(*(text if c == text_col else F.col(c) for c in docs.columns))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 15))::BIGINT AS k
+  FROM documents
+), s AS (
+  SELECT source, source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w, 2::DOUBLE * source_size AS cap
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), l AS (
+  SELECT *,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER filling, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER filling, 0)) AS level
+  FROM s WINDOW filling AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (SELECT max(level) FILTER (level * w <= cap) AS level FROM l),
+t AS (
+  SELECT source, source_size, least(cap, coalesce(f.level * w, cap)) AS target, floor(round(least(cap, coalesce(f.level * w, cap)), 6))::BIGINT AS goal
+  FROM s, f
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.goal,
+         CASE WHEN t.source_size > 0 THEN t.goal // t.source_size ELSE 0 END AS epochs,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, goal - epochs * source_size - before)))::BIGINT AS taken
+FROM p
+"""
