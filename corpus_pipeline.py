@@ -1,19 +1,66 @@
-"""The corpus pipeline: documents in, coded token shards out."""
+"""The corpus pipeline: documents in, coded token shards out.
+
+Each stage works on all rows that its predecessor kept. The first four return the
+columns of `documents`; the last returns one row a document of the coded output.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from weftline.llm.decontaminate import remove_leaks
+from weftline.llm.mixing import mix_documents
+from weftline.llm.ngram_join import jaccard_components
 from weftline.llm.quality_rules import filter_quality
+from weftline.llm.queries import tokenizer_path
+from weftline.llm.shared import Scratch
+from weftline.llm.token_output import read_index, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
     return filter_quality(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
+    groups = jaccard_components(docs)
+    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows that share an id are one document
+    order = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
+    return left.withColumn("row_", order).filter("row_ = 1 or doc_id is null").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; documents of small sources come twice, cut ones have their own n_chars."""
+    mixed = mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The coded token shards, as read back: doc_id, start, n_tokens and ids_crc32 of each row."""
+    path = f"{Scratch(spark, 'pipeline').path}/tokens"
+    write_tokens(docs, path, tokenizer_path())
+    return read_index(spark, path)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("encode", encode)]
+
+# the tokenizer and the coded files are beyond SQL; tests/llm has a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """All stages over `documents`, a written table between any two."""
+    scratch = Scratch(spark, "stages")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

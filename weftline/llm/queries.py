@@ -7,6 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.chat_format import digests, format_turns
+from weftline.llm.decontaminate import find_leaks
+from weftline.llm.html_extract import extract_pages
+from weftline.llm.license_scan import license_scan
+from weftline.llm.license_scan import oracle as license_sql
+from weftline.llm.line_dedup import ORACLE as LINE_DEDUP_SQL
+from weftline.llm.line_dedup import line_dedup
+from weftline.llm.mixing import ORACLE as MIX_SQL
 from weftline.llm.mixing import mix_sources
 from weftline.llm.ngram_join import jaccard_components
 from weftline.llm.quality_rules import quality_report
@@ -31,6 +39,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mix_sources(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -46,16 +62,43 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: Two turns that hold the template's own control strings.
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
+    return digests(format_turns(rows.unionByName(extra)))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op4_source_mix": op4_source_mix,
-    "op5_token_output": op5_token_output,
-    "op6_ngram_join": op6_ngram_join,
-    "op9_quality_rules": op9_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_html_extract,
+        op3_license_scan,
+        op4_source_mix,
+        op5_token_output,
+        op6_ngram_join,
+        op7_chat_format,
+        op8_line_dedup,
+        op9_quality_rules,
+        op10_decontaminate,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_source_mix": MIX_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
