@@ -17,6 +17,12 @@ def test_article():
     assert main_text(page(inner)) == "Head <1>\nOne two three é.\nShort. next\nx\ny\nc1\nc2\na b"
 
 
+def test_heads_and_layouts():
+    assert main_text(page("<article><div class='entry-header'><h1>Head</h1><span>by me</span></div><p>Body.</p></article>")) == "Head\nBody."
+    assert main_text(page("<div class='layout has-sidebar'><main><p>Body.</p></main></div>")) == "Body."
+    assert main_text(page("<main><p>Body text here.</p><div class='comments'><article><p>A comment.</p></article></div></main>")) == "Body text here."
+
+
 def test_without_semantic_container():
     body = "".join(f"<p>{'Long sentence of the text number %d. ' % i * 6}</p>" for i in range(5))
     assert main_text(page(f"<div><div id='content'>{body}<p>Ok.</p></div></div>")).split("\n")[-1] == "Ok."

@@ -52,16 +52,19 @@ MARKED = frozenset(
     "comment comments disqus respond replies reply discussion "
     "share sharing social search form hidden".split()
 )
+# Names that only say what a layout has, and those of an article's own head.
+LAYOUT = frozenset(("has", "with", "no", "without"))
+HEADS = frozenset(("header", "masthead"))
 WHITE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 SIGMA = 1.5
 
 
 class _Region:
-    __slots__ = ("tag", "parent", "depth", "skip", "vote")
+    __slots__ = ("tag", "parent", "depth", "skip", "head", "vote")
 
-    def __init__(self, tag: str, parent: _Region | None, skip: bool):
-        self.tag, self.parent, self.skip, self.vote = tag, parent, skip, 0
+    def __init__(self, tag: str, parent: _Region | None, skip: bool, head: bool = False):
+        self.tag, self.parent, self.skip, self.head, self.vote = tag, parent, skip, head or tag == "header", 0
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -85,7 +88,7 @@ class Blocks(HTMLParser):
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.region.skip or tag in SKIPPED:
             # an article's own header keeps its headings
-            return not (self.region.tag == "header" and tag in HEADINGS and self._within_article(self.region))
+            return not (self.region.head and tag in HEADINGS and self._within_article(self.region))
         if tag == "header":
             return True
         if tag in SEMANTIC or tag in ("html", "body"):
@@ -93,9 +96,18 @@ class Blocks(HTMLParser):
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 return True
-            if k in ("class", "id", "role") and v and not MARKED.isdisjoint(NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower())):
-                return True
-        return False
+        return bool(self._marks(attrs))
+
+    @staticmethod
+    def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+        found: set[str] = set()
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v:
+                for name in v.split():
+                    parts = NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+                    if LAYOUT.isdisjoint(parts):
+                        found |= MARKED.intersection(parts)
+        return found
 
     @staticmethod
     def _within_article(region: _Region | None) -> bool:
@@ -135,7 +147,8 @@ class Blocks(HTMLParser):
         for other in SIBLINGS.get(tag, ()):
             self._leave(other, SCOPES[tag])
         if tag not in VOID:
-            self.region = _Region(tag, self.region, self._skips(tag, attrs))
+            marks = self._marks(attrs)
+            self.region = _Region(tag, self.region, self._skips(tag, attrs), bool(marks) and marks <= HEADS)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
