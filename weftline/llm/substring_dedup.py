@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import bound_batches
@@ -109,8 +109,10 @@ def _windows(window: int):
             row, at, n = _list(b, "open")
             ids, keys = b.column("doc_id"), b.column("row_key")
             for a, end, data, off in pieces(b.column("text")):
-                w = Words(data, off)
                 mine = slice(*np.searchsorted(row, [a, end]))
+                if mine.start == mine.stop:
+                    continue
+                w = Words(data, off)
                 r, total = row[mine] - a, int(n[mine].sum())
                 skip = np.cumsum(n[mine]) - n[mine]
                 pick = np.repeat(np.arange(len(r)), n[mine])
@@ -178,20 +180,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # rows with one id stay apart: a key from the row itself; equal rows have equal results
     src = src.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    key = ["anchor", "block", "block2", "n_windows"]
     found = src.filter("doc_id is not null").mapInArrow(_blocks(window, gram), BLOCK)
-    by_anchor, by_block = Window.partitionBy("anchor"), Window.partitionBy("anchor", "block", "block2", "n_windows").orderBy("doc_id")
-    found = found.withColumn("least", F.first("doc_id").over(by_block)).withColumn("anchor_least", F.min("doc_id").over(by_anchor))
-    # whole matches; or, of a block's smallest document, what a smaller document may hold in part.
-    # The smaller documents' blocks of that anchor come along as references.
-    found = found.withColumn("contested", F.max((F.col("least") > F.col("anchor_least")).cast("int")).over(by_anchor))
-    found = found.select("doc_id", "row_key", "first", "n_windows", F.expr("doc_id > least").alias("whole"), F.expr("doc_id = least and contested = 1").alias("open"))
-    found = found.filter("whole or open")
+    # never null; said here, so that each use below has these filters and equal uses share one exchange
+    found = found.filter(" and ".join(f"{c} is not null" for c in key))
+    # one row a block: a passage that a third of all texts share is pre-aggregated to a row a task
+    known = found.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    # anchors whose blocks begin in different documents: a smaller document may hold a block in part
+    # (`last` is read here only so that both uses of `known` read the same columns and share one exchange)
+    contested = known.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("least").alias("hi"), F.max("last").alias("end"))
+    contested = contested.filter("lo < hi and end >= lo").select("anchor", F.lit(True).alias("contested"))
+    known = known.join(contested, "anchor", "left").filter("least < last or contested").select(*key, "least", F.coalesce("contested", F.lit(False)).alias("contested"))
+    found = found.join(known, key).select("doc_id", "row_key", "first", "n_windows", (F.col("doc_id") > F.col("least")).alias("whole"), "contested")
     span = F.struct(F.col("first").alias("at"), F.col("n_windows").alias("n"))
-    opened = found.filter("open").groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("open"))
-    windows = src.join(opened, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "open").mapInArrow(_windows(window), WINDOW)
-    windows = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).filter("doc_id > least")
-    matched = found.filter("whole").select("doc_id", "row_key", span.alias("span"))
-    matched = matched.unionByName(windows.select("doc_id", "row_key", F.struct("at", F.lit(1).alias("n")).alias("span")))
+    spans = found.filter("whole or contested").groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("whole"), span)).alias("whole"), F.collect_set(F.when(~F.col("whole"), span)).alias("open"))
+    # the text comes along only where windows are to be hashed; both joins of texts use one exchange
+    opened = src.join(spans.select("doc_id", "row_key", "open"), ["doc_id", "row_key"], "left")
+    opened = opened.select("doc_id", "row_key", F.when(F.size("open") > 0, F.col("text")).alias("text"), "open")
+    windows = opened.mapInArrow(_windows(window), WINDOW)
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("w1", "w2", "least")
+    late = windows.join(first, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "row_key", F.struct("at", F.lit(1).alias("n")).alias("span"))
+    matched = spans.select("doc_id", "row_key", F.explode("whole").alias("span")).unionByName(late)
     matched = matched.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("matched"))
     # a left join by value keeps rows whose id is null
     out = src.join(matched, ["doc_id", "row_key"], "left").select("doc_id", "text", "matched")
