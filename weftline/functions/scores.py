@@ -60,3 +60,8 @@ def quality_score(reply: Column) -> Column:
     n = F.regexp_extract(reply, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     n = F.when((n > 10) & (n <= 100), n / 10).otherwise(n)
     return F.when(n.isNull(), 5.0).otherwise(round_half_up(F.greatest(F.lit(1.0), F.least(F.lit(10.0), n)), 1))
+
+
+def reply_label(reply: Column, labels: tuple[str, ...]) -> Column:
+    """The first of the labels that a free reply names as a word, in any case; null if none."""
+    return F.nullif(F.regexp_extract(F.upper(reply), r"\b(" + "|".join(labels) + r")\b", 1), F.lit(""))
