@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import Scratch
+
 SITES = 5
 LG_K = 12
 # three standard errors of a sketch with 2^12 registers, as a share of the estimate
@@ -39,13 +41,19 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """Hashes (a, b) of the lines on `sites` or more sites; docs has doc_id, row_key, site and text."""
-    lines = _lines(docs)
+    """Hashes (a, b) of the lines on `sites` or more sites; docs has doc_id, row_key, site and text.
+
+    Both steps are written tables: joins with them shuffle either side anew, so that
+    adaptive execution can split the line that is in a third of all texts.
+    """
+    lines, scratch = _lines(docs), Scratch(docs.sparkSession, "line-dedup")
     spread = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n"))
     margin = max(1.0, BAND * sites)
-    near = spread.filter((F.col("n") >= sites - margin) & (F.col("n") <= sites + margin)).select("a", "b")
+    spread = scratch.write(spread.filter(F.col("n") >= sites - margin), "spread")
+    near = spread.filter(F.col("n") <= sites + margin).select("a", "b")
     exact = lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("n"))
-    return spread.filter(F.col("n") > sites + margin).select("a", "b").union(exact.filter(F.col("n") >= sites).select("a", "b"))
+    found = spread.filter(F.col("n") > sites + margin).select("a", "b").union(exact.filter(F.col("n") >= sites).select("a", "b"))
+    return scratch.write(found, "lines")
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
