@@ -301,18 +301,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.write(src.mapInArrow(_sets(k, percent), SETS), "sets")
+    full = scratch.write(src.mapInArrow(_sets(k, percent), SETS), "sets")
+    sets = scratch.write(full.drop("entries"), "facts")
     ids = sets.filter("doc_id is not null and n_shingles > 0")
 
     # equal sets: each node is the smallest id of its class
     classes = ids.groupBy("set1", "set2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).filter("node < last")
+    classes = scratch.write(classes, "classes")  # so that the join's shuffle can be split where a class is large
     copies = ids.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).filter("doc_id != node").select("doc_id", "node")
     copies = scratch.write(copies.distinct(), "copies")
 
     # index entries with more than one id
-    entries = ids.select("doc_id", F.explode("entries").alias("entry"))
+    entries = full.filter("doc_id is not null and n_shingles > 0").select("doc_id", F.explode("entries").alias("entry"))
     entries = entries.withColumn("n", F.count("*").over(Window.partitionBy("entry"))).filter("n > 1")
     members = scratch.write(entries.join(copies.select("doc_id"), "doc_id", "left_anti").distinct(), "members")
+    scratch.drop("sets")
     # an entry's leader is its node with the most company in all its entries: of edited copies, the least edited
     company = members.groupBy("doc_id").agg(F.sum("n").alias("company"))
     best = F.max_by("doc_id", F.struct("company", (-F.col("doc_id")).alias("first"))).alias("v")
@@ -335,6 +338,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     late = scratch.write(_compared(rest, src, k, percent).select("u", "v", "linked"), "late")
     links = part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late.filter("linked").select("u", "v")).union(copies.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
     final = components(links, scratch, "all")
-    scratch.drop("members", "tested", "prefixes", "late", "copies")
+    scratch.drop("classes", "members", "tested", "prefixes", "late", "copies")
     out = sets.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
