@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import bound_batches
+from weftline.llm.shared import bound_batches, lean
 from weftline.llm.textkit import WORD_BASES, Prefix, Words, mix, pieces, string_bytes
 
 RADIUS = 24
@@ -216,5 +216,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     """The documents without a leak, all columns unchanged."""
     bound_batches(docs.sparkSession)
     for items in item_blocks(benchmark, most_words=most_words):
-        docs = docs.mapInArrow(_clean(items, k, percent, text_col), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(items, k, percent, text_col)), docs.schema)
     return docs

@@ -56,11 +56,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.shared import Scratch, bound_batches
+from weftline.llm.shared import Scratch, bound_batches, lean
 from weftline.llm.textkit import Words, mix, pieces, shingle_sets
 
 LAYERS = 24
 SKETCH = 1024
+VERIFY_ROWS = 256
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -192,9 +193,7 @@ def _text_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, VERIFY_ROWS) for whole in batches for i in range(0, whole.num_rows, VERIFY_ROWS)):
             left, right = (pc.dictionary_encode(b.column(c)) for c in ("text_u", "text_v"))
             x, y = _text_sets(left.dictionary, k), _text_sets(right.dictionary, k)
             rows, wide = [], []
@@ -233,7 +232,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """Of pairs (u, v), by their whole texts: whether they are linked, and how u differs from v."""
     j = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     j = j.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return j.select("u", "v", "text_u", "text_v").mapInArrow(_verify(k, percent), FOUND)
+    return j.select("u", "v", "text_u", "text_v").mapInArrow(lean(_verify(k, percent)), FOUND)
 
 
 PREFIXES = "v long, shingle long, own long, other long, place long, u long, c long, differ long, n long, apart boolean"
@@ -301,7 +300,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    full = scratch.write(src.mapInArrow(_sets(k, percent), SETS), "sets")
+    full = scratch.write(src.mapInArrow(lean(_sets(k, percent)), SETS), "sets")
     sets = scratch.write(full.drop("entries"), "facts")
     ids = sets.filter("doc_id is not null and n_shingles > 0")
 
@@ -330,7 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group = group.join(of_node.withColumnRenamed("node", "v"), "v", "left").withColumn("cv", F.coalesce("component", "v")).drop("component")
     split = group.groupBy("v").agg(F.bool_or(F.col("c") != F.col("cv")).alias("apart"), F.count("*").alias("n")).filter("apart and n > 1").select("v")
     group = group.join(split, "v", "left_semi").select("u", "c", "v", "cv", "n_u", "n_v", "added", "differ", "change", "subsets")
-    prefixes = scratch.write(group.mapInArrow(_prefixes(percent), PREFIXES), "prefixes")
+    prefixes = scratch.write(group.mapInArrow(lean(_prefixes(percent)), PREFIXES), "prefixes")
     facts = ids.select("doc_id", "n_shingles", "sketch")
     of_u, of_v = (facts.toDF(x, f"n_{x}", f"s_{x}") for x in "uv")
     met = _meeting(prefixes, percent).join(of_u, "u").join(of_v, "v").filter(_near(percent, "n_u", "n_v", "s_u", "s_v")).select("u", "v").distinct()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import bound_batches
+from weftline.llm.shared import bound_batches, lean
 from weftline.llm.textkit import BYTE_BASE, WORD_BASES, Prefix, Words, byte_values, pieces, string_bytes
 
 SYMBOLS = b"#*$%&|<>"
@@ -213,4 +213,4 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
             for a, e, data, off in pieces(b.column(text_col)):
                 yield b.slice(a, e - a).filter(pa.array(judge(Features(data, off), cascade)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+PIECE_ROWS = 2048
 
 _M64 = (1 << 64) - 1
 # Odd multipliers of the polynomial hashes.
@@ -101,11 +102,11 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about `most` bytes; a longer row comes alone."""
+    """(first row, end row, bytes, offsets) of runs of at most PIECE_ROWS rows of about `most` bytes; a longer row comes alone."""
     data, off = string_bytes(column)
     n, a = len(off) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+        b = min(a + PIECE_ROWS, max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1))
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import rans
-from weftline.llm.shared import bound_batches
+from weftline.llm.shared import bound_batches, give_back, lean
 from weftline.llm.textkit import BYTE_BASE, WORD_BASES, Prefix, Words, byte_values, pieces
 
 SHARD_TOKENS = 1 << 21
-CACHE_BITS = 20
+CACHE_BITS = 19
 PIECE_BYTES = 1 << 19
 SLOT_IDS = 12
 TOGETHER = 200
@@ -168,7 +168,7 @@ def _encode(tokenizer_path: str, end_id: int):
                     if held >= SHARD_TOKENS:
                         yield shard()
                         ids, tokens, held, seq = [], [], 0, seq + 1
-                        pa.default_memory_pool().release_unused()
+                        give_back()
         if ids:
             yield shard()
 
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    src.mapInArrow(_encode(tokenizer_path, end_id), SHARDS).write.mode("error").option("compression", "none").parquet(path)
+    src.mapInArrow(lean(_encode(tokenizer_path, end_id)), SHARDS).write.mode("error").option("compression", "none").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,5 +222,5 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     shards = files.select("part", "seq", "n_tokens").join(parts.select("part", "base"), "part")
     before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = shards.select("part", "seq", (F.col("base") + before).alias("base"))
-    docs = files.select("part", "seq", "doc_id", "doc_tokens", "table", "blocks").mapInArrow(_decode, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = files.select("part", "seq", "doc_id", "doc_tokens", "table", "blocks").mapInArrow(lean(_decode), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(shards, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
