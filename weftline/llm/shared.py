@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

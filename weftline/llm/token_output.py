@@ -31,7 +31,7 @@ from weftline.llm.shared import bound_batches, give_back, lean
 from weftline.llm.textkit import BYTE_BASE, WORD_BASES, Prefix, Words, byte_values, pieces
 
 SHARD_TOKENS = 1 << 21
-CACHE_BITS = 19
+CACHE_BITS = 20
 PIECE_BYTES = 1 << 19
 SLOT_IDS = 12
 TOGETHER = 200
