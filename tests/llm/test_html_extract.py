@@ -30,6 +30,25 @@ def test_without_semantic_container():
     assert bare.count("\n") == 4 and "f" != bare.split("\n")[-1]
 
 
+def test_content_region_holds_the_whole_vote():
+    long, short = "word " * 100, "Eight short words that end the whole text."
+    assert main_text(f"<html><body><div><h1>Title</h1><p>{long}</p><p>{short}</p></div></body></html>") == f"Title\n{long.strip()}\n{short}"
+    # a sibling container with a tenth of the text
+    assert main_text(page(f"<div><div><p>{long}</p><p>{long}</p></div><div><p>{short}</p></div></div>")).endswith(f"\n{short}")
+    assert main_text(page(f"<ul><li>{long}</li><li>{short}</li></ul>")) == f"{long.strip()}\n{short}"
+    assert main_text(f"<div><h1>T</h1><p>{long}</p></div>") == f"T\n{long.strip()}"
+
+
+def test_several_semantic_containers():
+    long, teaser = "word " * 100, "A teaser of some words."
+    assert main_text(page(f"<main><p>{long}</p><article><p>{teaser}</p></article></main>")) == f"{long.strip()}\n{teaser}"
+    assert main_text(page(f"<main><article><p>{long}</p></article><article><p>{teaser}</p></article></main>")) == f"{long.strip()}\n{teaser}"
+    assert main_text(page(f"<article><h1>Head</h1><main><p>{long}</p></main></article>")) == f"Head\n{long.strip()}"
+    assert long.strip() in main_text(page(f"<div><p>{long}</p></div><article><p>{teaser}</p></article>"))
+    # what stands beside an article that holds the content stays out
+    assert main_text(page(f"<div>More</div><article><p>{long}</p></article>")) == long.strip()
+
+
 def test_broken_and_empty_pages(spark):
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("just text &amp; more") == "just text & more"

@@ -11,10 +11,12 @@ space inside a block is one space; `<br>` is white space; references are decoded
 2. Of what remains, the text-to-tag ratio per block is smoothed by a Gaussian kernel
    and clustered around a threshold (the smaller of half the standard deviation and half
    the mean). Each block above it votes with its text for the regions that hold it.
-3. The content region is the deepest semantic container (article, main) with votes, or
-   the smallest region that holds most of the vote. All its remaining blocks are the
-   text, short ones too, in page order, one line each. A page without such a region
-   gives the blocks from the first to the last one above the threshold.
+3. The content regions are every article with votes and every main with votes outside
+   its articles. If they hold less than half of the vote (or there are none), the region
+   is the smallest container (section, div and the like) that holds the whole vote. All
+   remaining blocks in the regions are the text, short ones too, in page order, one line
+   each. If only the page itself holds the whole vote, the text is the blocks from the
+   first to the last one above the threshold.
 
 Null, empty and textless pages give an empty text. Null ids and repeated rows pass
 through, each row alone; further columns are dropped. Memory follows one page.
@@ -38,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template head title form nav footer aside menu dialog iframe object svg canvas select textarea button audio video math".split())
 SEMANTIC = frozenset(("article", "main"))
+PAGE = frozenset(("", "html", "body"))
+CONTAINERS = PAGE | SEMANTIC | {"section", "div", "center"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -185,23 +189,22 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in blocks]))
     content = ratio >= min(ratio.std(), ratio.mean()) / 2
-    total = 0
-    for i in np.flatnonzero(content):
-        text, _, region = blocks[i]
+    at = np.flatnonzero(content)
+    total, declared, kept = 0, 0, set()
+    for i in at:
+        text, _, leaf = blocks[i]
         total += len(text)
-        while region:
+        semantic = [r for r in _path(leaf) if r.tag in SEMANTIC]
+        declared += len(text) if semantic else 0
+        kept.update(r for n, r in enumerate(semantic) if n == 0 or r.tag == "article")
+        for region in _path(leaf):
             region.vote += len(text)
-            region = region.parent
-    regions = {id(r): r for _, _, leaf in blocks for r in _path(leaf)}.values()
-    semantic = [r for r in regions if r.tag in SEMANTIC and r.vote]
-    if semantic:
-        best = max(semantic, key=lambda r: (r.tag == "article", r.vote, r.depth))
-    else:
-        best = max((r for r in regions if 10 * r.vote >= 9 * total), key=lambda r: r.depth)
-        if best.depth < 3:  # the page itself: no container holds the content
-            at = np.flatnonzero(content)
+    if 2 * declared < total or not kept:  # no article or main, or only teasers
+        best = max((r for r in _path(blocks[at[0]][2]) if r.tag in CONTAINERS and r.vote == total), key=lambda r: r.depth)
+        if best.tag in PAGE:  # the page itself: no container holds the content
             return "\n".join(t for t, _, _ in blocks[at[0] : at[-1] + 1])
-    return "\n".join(t for t, _, r in blocks if any(p is best for p in _path(r)))
+        kept = {best}
+    return "\n".join(t for t, _, r in blocks if any(p in kept for p in _path(r)))
 
 
 def _path(region: _Region | None) -> Iterator[_Region]:
