@@ -71,6 +71,46 @@ def test_edited_leaks(spark):
     assert got == plain(docs, items)
 
 
+def whole(docs, items, k=5, percent=80):
+    """`plain`, and every text with fewer shingles than an item as one window."""
+    out = plain(docs, items, k, percent)
+    for d, t in docs:
+        w = fold(t)
+        for i, x in items:
+            v = fold(x)
+            width = min(k, len(v))
+            if v and i is not None and width <= len(w) < len(v):
+                a, b = (Counter(tuple(z[j : j + width]) for j in range(len(z) - width + 1)) for z in (w, v))
+                both, either = sum((a & b).values()), sum((a | b).values())
+                if 100 * both >= percent * either:
+                    out[d, i] = (0, len(w), both / either)
+    return out
+
+
+def test_texts_shorter_than_the_item(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 4)}" for _ in range(rng.choice([2, 5, 6, 9, 20, 40, 60])))) for i in range(40)]
+    items += [(50 + i, items[i][1] + " and more") for i in range(20)] + [(80, "na " * 30), (81, "na " * 40)]
+    docs = [(0, " ".join(items[30][1].split()[:-3])), (1, "na " * 28), (2, "na " * 33), (3, items[0][1].split()[0])]
+    for d in range(4, 300):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, 4)):
+            if len(w) > 1:
+                w.pop(rng.choice([0, -1, -2, rng.randrange(len(w))]))
+        docs.append((d, " ".join(["pad"] * (d % 3) + w)))
+    schemas = "doc_id long, text string", "item_id long, text string"
+    want = whole(docs, items)
+    assert len(want) > len(plain(docs, items)) + 50
+    assert found(find_leaks(spark.createDataFrame(docs, schemas[0]), spark.createDataFrame(items, schemas[1]))) == want
+    item = " ".join(f"w{j}" for j in range(40))  # 36 shingles
+    docs = [(1, " ".join(item.split()[:-3])), (2, " ".join(item.split()[:1] + item.split()[2:])), (3, " ".join(item.split()[:32]))]
+    docs += [(4, " ".join(item.split()[:33])), (5, " ".join(f"w{j}" for j in range(8, 40)))]
+    bench = spark.createDataFrame([(9, item)], schemas[1])
+    df = spark.createDataFrame(docs, schemas[0])
+    assert found(find_leaks(df, bench)) == {(1, 9): (0, 37, 33 / 36), (2, 9): (0, 39, 34 / 37), (4, 9): (0, 33, 29 / 36)}
+    assert sorted(r.doc_id for r in remove_leaks(df, bench).collect()) == [3, 5]
+
+
 def test_multi_index_finds_everything_in_the_radius():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 62, 300).astype(np.uint64)

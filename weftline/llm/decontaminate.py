@@ -2,7 +2,8 @@
 
 Texts and items are folded alike: A-Z lower-cased, every other ASCII character that
 isn't a digit or letter is a gap. Shingles are `k` words (an item with fewer words is
-one shingle of its own width). A window has as many shingles as the item.
+one shingle of its own width). A window has as many shingles as the item; a text with
+fewer is one window of its own size.
 
 * Where: a window that shares no shingle with an item has similarity 0, so windows are
   formed around the positions whose shingle occurs in the benchmark, and nowhere else.
@@ -11,6 +12,8 @@ one shingle of its own width). A window has as many shingles as the item.
   the items of that size; two fingerprints within RADIUS agree in one block at least.
   At similarity 0.8 a bit differs with probability 0.15, so RADIUS 24 misses a
   window of a true leak with probability below 1e-5, and a leak has several windows.
+* Texts with fewer shingles than an item are counted against the items by an index of
+  shingles, without fingerprints, and only where enough of their shingles are known.
 * Verification: sum of minimal counts / sum of maximal counts of the shingles, at
   least `percent` / 100, in integers.
 
@@ -93,6 +96,7 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.classes: dict[tuple[int, int], list] = {}
+        self.postings: dict[tuple[int, int], tuple] = {}
         self.keys: dict[int, np.ndarray] = {}
         data, off = string_bytes(pa.array([t for _, t in items], pa.string()))
         w = Words(FOLD[data], off)
@@ -111,6 +115,23 @@ class Benchmark:
             self.maybe[width][(keys & np.uint64(size - 1)).astype(np.int64)] = True
         self.index = {c: (MultiIndex(np.concatenate([simhash(v, np.array([0]), c[1]) for _, v in group])), [i for i, _ in group], [np.unique(v, return_counts=True) for _, v in group], np.unique(np.concatenate([v for _, v in group]))) for c, group in self.classes.items()}
 
+    def _common(self, width: int, n: int, values: np.ndarray) -> tuple[list[int], list[int]]:
+        """(item, sum of minimal counts) of the items of a class that share a shingle with a text."""
+        if (width, n) not in self.postings:
+            counted = self.index[width, n][2]
+            keys = np.concatenate([u for u, _ in counted])
+            order = np.argsort(keys, kind="stable")
+            owner = np.repeat(np.arange(len(counted), dtype=np.int32), [len(u) for u, _ in counted])
+            self.postings[width, n] = keys[order], owner[order], np.concatenate([c for _, c in counted])[order]
+        keys, owner, counts = self.postings[width, n]
+        u, c = np.unique(values, return_counts=True)
+        lo, hi = np.searchsorted(keys, u, "left"), np.searchsorted(keys, u, "right")
+        of = np.repeat(np.arange(len(u)), hi - lo)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[of]
+        item, place = np.unique(owner[at], return_inverse=True)
+        both = np.bincount(place, weights=np.minimum(c[of], counts[at]), minlength=len(item))
+        return item.tolist(), both.astype(np.int64).tolist()
+
     def leaks(self, w: Words, percent: int) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity), the best window of each text and item."""
         best: dict[tuple[int, int], tuple] = {}
@@ -131,6 +152,16 @@ class Benchmark:
                 if x != width:
                     continue
                 mine = hits[known[np.minimum(np.searchsorted(known, value[hits]), len(known) - 1)] == value[hits]]
+                ds, shared = np.unique(doc[mine], return_counts=True)
+                ds = ds[(room[ds] < n) & ((100 + percent) * shared >= percent * (n + room[ds]))]
+                for d in ds:
+                    m = int(room[d])
+                    for item, both in zip(*self._common(x, n, value[end[d] - m : end[d]]), strict=True):
+                        if 100 * both >= percent * (n + m - both):
+                            found = (-both / (n + m - both), 0, m + width - 1)
+                            key = (int(d), items[item])
+                            if key not in best or found < best[key]:
+                                best[key] = found
                 lo = np.maximum(mine - n + 1, (end - room)[doc[mine]])
                 hi = np.minimum(mine, end[doc[mine]] - n)
                 lo, hi = lo[hi >= lo], hi[hi >= lo]
