@@ -92,3 +92,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_registered_exports_of_the_whole_graph(spark, sf_dir):
+    from weftline.catalog import QUERIES
+    from weftline.catalog.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    n, e = t.nodes.count(), t.edges.count()
+    for name in ("sink_graphml_all", "sink_dot_all"):
+        assert {r["part"]: r["count"] for r in QUERIES[name](spark, sf_dir).groupBy("part").count().collect()} == {1: n, 2: e}
+    csv = QUERIES["sink_csv_pivot_all"](spark, sf_dir)
+    by_type = lambda df, c: {r[0]: r["count"] for r in df.groupBy(c).count().collect()}
+    assert by_type(csv, "type") == by_type(t.nodes, "node_type") and len(by_type(csv, "type")) == 5

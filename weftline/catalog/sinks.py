@@ -72,6 +72,26 @@ def _(t):
     return back.select("id", "label", F.col("metric_acctbal").cast("double").alias("metric_acctbal"))
 
 
+_TAGS, _METRICS = ("building", "cheap", "large", "negative", "rich"), ("acctbal", "retailprice", "size")
+_TAG_SQL = ", ".join(f"CASE WHEN bool_or(list_contains(tags, '{x}')) OVER (PARTITION BY node_type) THEN coalesce(list_contains(tags, '{x}'), false) END AS tag_{x}" for x in _TAGS)
+_METRIC_SQL = ", ".join(f"metrics['{x}'] AS metric_{x}" for x in _METRICS)
+
+
+@query("sink_csv_pivot_all", f"SELECT id, node_type AS type, display_label AS label, {_TAG_SQL}, {_METRIC_SQL} FROM nodes")
+def _(t):
+    """The CSV folders of all node types, read back; a column that a type's header lacks is null."""
+    at = Rounds(t.spark, "csv").path
+    types = sorted(r[0] for r in t.nodes.select("node_type").distinct().collect())
+    store.write_pivoted_csv(t.nodes, at, types)
+    out = None
+    for x in types:
+        back = t.spark.read.option("header", True).option("escape", '"').csv(f"{at}/{x}")
+        typed = [(f"tag_{c}", "boolean") for c in _TAGS] + [(f"metric_{c}", "double") for c in _METRICS]
+        back = back.select("id", "type", "label", *[(F.col(c) if c in back.columns else F.lit(None)).cast(d).alias(c) for c, d in typed])
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @query("inverted_index", "SELECT tag, count(*) AS nodes, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT id, unnest(tags) AS tag FROM nodes) GROUP BY 1")
 def _(t):
     return tg.inverted_index(t.nodes)
@@ -108,6 +128,16 @@ def _(t):
     return store.dot_lines(Graph(t.nodes.filter("node_type = 'nation'"), t.edges.filter("source_id like 'n:%'")))
 
 
+@query("sink_graphml_all", "SELECT 1 AS part, '<node id=\"' || id || '\"/>' AS line FROM nodes UNION ALL SELECT 2, '<edge source=\"' || source_id || '\" target=\"' || target_id || '\"/>' FROM edges")
+def _(t):
+    return store.graphml_lines(t.graph)
+
+
+@query("sink_dot_all", "SELECT 1 AS part, '\"' || id || '\";' AS line FROM nodes UNION ALL SELECT 2, '\"' || source_id || '\" -> \"' || target_id || '\";' FROM edges")
+def _(t):
+    return store.dot_lines(t.graph)
+
+
 @query("validate_properties")
 def _(t):
     """Violations of nodes with broken properties; rows only, the fixture is in the tests."""
