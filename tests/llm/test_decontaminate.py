@@ -132,3 +132,12 @@ def test_edges(spark):
     assert find_leaks(df, empty).collect() == [] and remove_leaks(df, empty).count() == 6
     assert find_leaks(df.limit(0), bench).collect() == []
     assert [len(b) for b in item_blocks(spark.createDataFrame([(i, "a b c") for i in range(5)], "item_id long, text string"), most_words=6)] == [2, 2, 1]
+
+
+def test_items_with_a_null_id_are_removed(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, "x " + text), (2, "zz"), (3, text + " and an other text of its own words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, "zz yy"), (7, "an other text of its own words"), (None, None)], "item_id long, text string")
+    assert [r.doc_id for r in remove_leaks(docs, bench).collect()] == [2]
+    both = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
+    assert sorted(r.doc_id for r in remove_leaks(docs, both).collect()) == [2]

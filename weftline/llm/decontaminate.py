@@ -21,8 +21,9 @@ One pass over the documents, no shuffle. Items are taken in blocks of at most
 ITEM_WORDS words (one longer item makes a block), so what a task holds is bounded; a
 larger benchmark means more passes.
 
-Null or empty texts and items match nothing. Null ids are reported as null. Rows are
-judged alone; of equally similar windows the first counts. `find_leaks` drops further
+Null or empty texts and items match nothing. Null document ids are reported as null. An
+item with a null id can't be reported, so `find_leaks` leaves it out; `remove_leaks`
+removes its passages as any other's. Rows are judged alone; of equally similar windows the first counts. `find_leaks` drops further
 columns, `remove_leaks` keeps all.
 """
 
@@ -94,7 +95,7 @@ class MultiIndex:
 class Benchmark:
     """A block of items: their shingles by width, and an index of fingerprints by width and size."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int):
+    def __init__(self, items: list[tuple[int | None, str]], k: int):
         self.classes: dict[tuple[int, int], list] = {}
         self.postings: dict[tuple[int, int], tuple] = {}
         self.keys: dict[int, np.ndarray] = {}
@@ -187,12 +188,12 @@ class Benchmark:
                         key = (d, items[item])
                         if key not in best or found < best[key]:
                             best[key] = found
-        return [(d, i, first, size, -s) for (d, i), (s, first, size) in sorted(best.items(), key=lambda x: x[0])]
+        return [(d, i, first, size, -s) for (d, i), (s, first, size) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1] or 0))]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most_words: int = ITEM_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `most_words` words, streamed through the driver one block at a time."""
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most_words: int = ITEM_WORDS, unnamed: bool = False) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of at most `most_words` words, streamed through the driver one block at a time; those with a null id if `unnamed`."""
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).filter((F.lit(unnamed) | F.col(item_col).isNotNull()) & F.col(text_col).isNotNull())
     block, held = [], 0
     for item, text in rows.toLocalIterator():
         n = len(text.split())
@@ -208,7 +209,7 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 LEAKS = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
 
-def _find(items: list[tuple[int, str]], k: int, percent: int):
+def _find(items: list[tuple[int | None, str]], k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(items, k)
         for b in batches:
@@ -231,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
     return out
 
 
-def _clean(items: list[tuple[int, str]], k: int, percent: int, text_col: str):
+def _clean(items: list[tuple[int | None, str]], k: int, percent: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(items, k)
         for b in batches:
@@ -246,6 +247,6 @@ def _clean(items: list[tuple[int, str]], k: int, percent: int, text_col: str):
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", most_words: int = ITEM_WORDS) -> DataFrame:
     """The documents without a leak, all columns unchanged."""
     bound_batches(docs.sparkSession)
-    for items in item_blocks(benchmark, most_words=most_words):
+    for items in item_blocks(benchmark, most_words=most_words, unnamed=True):
         docs = docs.mapInArrow(lean(_clean(items, k, percent, text_col)), docs.schema)
     return docs
