@@ -84,3 +84,10 @@ def test_interfaces_and_chains(spark):
     assert got["A"] == (1, 2, 3) and got["B"] == (0, 1, 1) and got["J"] == (0, 0, 0)
     chains = {r.chain for r in cp.dependency_chains(frames(spark, ["AB", "BC", "BD", "DB"])[1], 1, 5).collect()}
     assert chains == {"A -> B -> C"}
+
+
+def test_chains_of_any_length(spark):
+    from weftline.operators.coupling import dependency_chains
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n3", "n2"), ("a", "b")], "source_id string, target_id string")
+    assert [tuple(r) for r in dependency_chains(edges).collect()] == [(" -> ".join(f"n{i}" for i in range(10)), 9)]

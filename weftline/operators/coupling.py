@@ -152,23 +152,28 @@ def interface_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", direct_.alias("direct"), (total_ - direct_).alias("inherited"), total_.alias("total"))
 
 
-def dependency_chains(edges: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
-    """Simple paths of `least` to `most` edges from nodes without incoming to nodes without outgoing edges, as ` -> ` strings.
+def dependency_chains(edges: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
+    """Simple paths of `least` edges or more (to `most`, if given) from nodes without incoming to nodes without outgoing edges, as ` -> ` strings.
 
-    Paths are a frontier, one join a level; `most` bounds the levels. The number of
-    paths is the result's own size.
+    Paths are a frontier, one join a level, each level written, until none goes on. The
+    number of paths is the result's own size.
     """
+    rounds = Rounds(edges.sparkSession, "chains")
     e = edges.select("source_id", "target_id").filter("source_id != target_id").distinct()
     starts = e.select("source_id").distinct().join(e.select(F.col("target_id").alias("source_id")), "source_id", "left_anti")
     sinks = e.select("target_id").distinct().join(e.select(F.col("source_id").alias("target_id")), "target_id", "left_anti")
     step = e.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
     paths = starts.select(F.col("source_id").alias("at"), F.array("source_id").alias("path"))
-    out = None
-    for n in range(1, most + 1):
+    out, n = None, 0
+    while most is None or n < most:
+        n += 1
         paths = paths.join(step, "at").filter(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"))
+        paths = rounds.keep(paths, str(n))
         if n >= least:
             done = paths.join(sinks.withColumnRenamed("target_id", "at"), "at", "left_semi").select(F.array_join("path", " -> ").alias("chain"), F.lit(n).alias("length"))
             out = done if out is None else out.union(done)
+        if n >= least and paths.isEmpty():
+            break
     return out
 
 
