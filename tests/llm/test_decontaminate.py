@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from weftline.llm.decontaminate import MultiIndex, find_leaks, item_blocks, remove_leaks
+from weftline.llm.decontaminate import RADIUS, MultiIndex, coordinates, find_leaks, item_blocks, remove_leaks, simhash
 
 
 def fold(t):
@@ -141,3 +141,50 @@ def test_items_with_a_null_id_are_removed(spark):
     assert [r.doc_id for r in remove_leaks(docs, bench).collect()] == [2]
     both = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
     assert sorted(r.doc_id for r in remove_leaks(docs, both).collect()) == [2]
+
+
+def test_candidates_are_few_and_recall_is_high():
+    """2,000 items of one size: candidates against all pairs, and windows at random similarities from 0.8 to 1 against brute force."""
+    rng = np.random.default_rng(11)
+    n, rows = 40, 2000
+    items = rng.integers(0, 1 << 63, (rows, n)).astype(np.uint64)
+    prints = np.concatenate([next(simhash(v, n)) for v in items])
+    index = MultiIndex(prints)
+    queries, want, lowest = [], [], []
+    for i in range(rows):
+        window, edits = items[i].copy(), int(rng.integers(0, n // 9 + 1))  # 2 * n * 80 / 180 shingles are shared at least
+        window[rng.choice(n, edits, replace=False)] = rng.integers(0, 1 << 63, edits).astype(np.uint64)
+        queries.append(next(simhash(window, n)))
+        want.append(i)
+        lowest.append(edits == n // 9)
+    queries = np.concatenate(queries)
+    near, lowest = 0, np.array(lowest)
+    found = np.zeros(rows, bool)
+    for a in range(0, rows, 100):
+        q, item = index.candidates(queries[a : a + 100])
+        near += len(q)
+        q, item = index.search(queries[a : a + 100])
+        assert (np.bitwise_count(queries[a : a + 100][q] ^ prints[item]).min(axis=1) <= RADIUS).all()
+        found[a + q[item == a + q]] = True
+    assert near <= 0.05 * rows * rows
+    assert found.mean() >= 0.999 and found[lowest].mean() >= 0.99
+
+
+def test_fingerprints_move_with_the_window():
+    rng = np.random.default_rng(3)
+    value = rng.integers(0, 50, 5000).astype(np.uint64)
+    for n in (1, 7, 1500):
+        got = np.concatenate(list(simhash(value, n)))
+        assert len(got) == len(value) - n + 1
+        for s in (0, 1, 1023, 1024, 1025, 2048, len(got) - 1):
+            sums = coordinates(value[s : s + n]).sum(axis=0, dtype=np.int64)
+            assert (np.packbits(sums > 0, bitorder="little").view("<u8") == got[s]).all()
+
+
+def test_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"x{i % 977}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, f"{long} {item} {long}"), (3, "na " * 20_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, "na " * 30)], "item_id long, text string")
+    assert found(find_leaks(docs, bench)) == {(2, 5): (400_000, 40, 1.0), (3, 6): (0, 30, 1.0)}
+    assert [r.doc_id for r in remove_leaks(docs, bench, most_words=10).collect()] == [1]
