@@ -45,6 +45,23 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(cover)
 
 
+def quality_kept(text):
+    """The verdict of all quality rules, spelled out."""
+    w, lines = words(text), (text or "").split("\n")
+    n, chars, symbols, dup, repeat = quality(text)
+
+    def most(k):
+        return max(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)).values(), default=0)
+
+    if n < 20 or 100 * repeat > 30 * n or 100 * symbols > 25 * n or 2 * dup > len(lines) or not 2 * n <= chars <= 15 * n:
+        return False
+    if 100 * sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in x) for x in w) < 70 * n:
+        return False
+    if n >= 200 and 100 * len(set(w)) < 2 * n:
+        return False
+    return n < 50 or 100 * most(2) <= 10 * n and 100 * most(3) <= 6 * n and 100 * most(4) <= 4 * n
+
+
 def shingles(text, k=5):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

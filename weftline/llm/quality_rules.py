@@ -1,9 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a selectivity, both measured on a sample; rules run in the
-order of rejections per second, and a document that one rule rejects is not seen by
-the next. The verdict is the conjunction of all rules, so it does not depend on the
-order, on timing or on the sample.
+On a sample each rule's cost and selectivity are measured as they are at its place: the
+seconds for what the rules before have not computed yet, and the share it rejects of
+what they left. The rule with the most rejections per second comes next. A document that
+one rule rejects is not seen by the next, so the costly rules (vocabulary, the most
+frequent word pair, triple and four) run on few documents. The verdict is the conjunction of
+all rules, so it does not depend on the order, on timing or on the sample.
+
+`filter_quality` runs all rules so. `quality_report` has to tell the base features of
+every document; the other rules run on those that the base rules leave.
+
+The sample: the first SAMPLE_ROWS / SAMPLE_PARTS texts of at most SAMPLE_BYTES of each of
+SAMPLE_PARTS partitions, evenly spaced over the table.
 
 Words are `[^\\x20\\x09-\\x0D]+` runs of the whole text (null: no words). Features come
 from arrays over bounded pieces of a batch (textkit); one pass, no shuffle.
@@ -18,6 +26,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,8 @@ from weftline.llm.textkit import BYTE_BASE, WORD_BASES, Prefix, Words, byte_valu
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 512
+SAMPLE_PARTS = 16
 SAMPLE_BYTES = 1 << 16
 
 
@@ -108,6 +118,48 @@ class Features:
         np.add.at(edge, hit + REPEAT_WINDOW, -1)
         return np.bincount(w.doc[np.cumsum(edge[:-1]) > 0], minlength=len(self))
 
+    def _n_worded(self) -> np.ndarray:
+        """Words with a letter (any byte of a character beyond ASCII counts as one)."""
+        w: Words = self["words"]
+        d = self.data
+        letter = np.concatenate([[0], np.cumsum((d >= 0x80) | ((d | 0x20) >= 97) & ((d | 0x20) <= 122))])
+        return np.bincount(w.doc[letter[w.end] > letter[w.start]], minlength=len(self))
+
+    def _n_distinct(self) -> np.ndarray:
+        w: Words = self["words"]
+        order = np.lexsort((self["hashes"], w.doc))
+        h, doc = self["hashes"][order], w.doc[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+        return np.bincount(doc[new], minlength=len(self))
+
+    def _top(self, k: int) -> np.ndarray:
+        """How often the most frequent run of k words stands in each text."""
+        w: Words = self["words"]
+        at, doc = w.runs(k)
+        out = np.zeros(len(self), np.int64)
+        if len(at):
+            h = Prefix(self["hashes"], WORD_BASES[0]).hash(at, at + k)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+            np.maximum.at(out, doc[new], np.diff(np.concatenate([new, [len(h)]])))
+        return out
+
+    def _n_top2(self) -> np.ndarray:
+        return self._top(2)
+
+    def _n_top3(self) -> np.ndarray:
+        return self._top(3)
+
+    def _n_top4(self) -> np.ndarray:
+        return self._top(4)
+
+    def fork(self) -> Features:
+        """The same texts with what is known so far; what is computed on it stays there."""
+        out = Features(self.data, self.off)
+        out.memo = dict(self.memo)
+        return out
+
     def take(self, rows: np.ndarray) -> Features:
         """The features of some of the texts; what is known of them comes along."""
         if len(rows) == len(self):
@@ -141,6 +193,11 @@ RULES = BASE_RULES + (
     Rule("few_symbols", _share("n_symbols", "n_words", 25)),
     Rule("few_dup_lines", lambda f: 2 * f["n_dup_lines"] <= f["n_lines"]),
     Rule("word_length", lambda f: (f["word_chars"] >= 2 * f["n_words"]) & (f["word_chars"] <= 15 * f["n_words"])),
+    Rule("words_have_letters", lambda f: 100 * f["n_worded"] >= 70 * f["n_words"]),
+    Rule("vocabulary", lambda f: (f["n_words"] < 200) | (100 * f["n_distinct"] >= 2 * f["n_words"])),
+    Rule("no_common_pair", lambda f: (f["n_words"] < 50) | _share("n_top2", "n_words", 10)(f)),
+    Rule("no_common_triple", lambda f: (f["n_words"] < 50) | _share("n_top3", "n_words", 6)(f)),
+    Rule("no_common_four", lambda f: (f["n_words"] < 50) | _share("n_top4", "n_words", 4)(f)),
 )
 
 
@@ -156,37 +213,60 @@ def judge(f: Features, rules: tuple[Rule, ...]) -> np.ndarray:
     return out
 
 
-def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[dict]:
-    """Cost (seconds a text), rejection rate and rank of each rule on a sample, best first. Names break ties."""
-    data, off = string_bytes(pa.array(texts, pa.string()))
-    out = []
-    for rule in rules:
-        began = time.perf_counter()
-        ok = rule.passes(Features(data, off)) if texts else np.zeros(0, bool)
-        cost = (time.perf_counter() - began) / max(1, len(texts)) + 1e-9
-        rejected = float(1 - ok.mean()) if len(ok) else 0.0
-        out.append({"rule": rule.name, "cost": cost, "rejected": rejected, "rank": rejected / cost})
-    return sorted(out, key=lambda x: (-x["rank"], x["cost"], x["rule"]))
+def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES, done: tuple[Rule, ...] = ()) -> list[dict]:
+    """The rules in their order, with cost (seconds a text), share rejected and rank at their place; names break ties.
 
+    `done` rules ran before. A rule that is cheap only because of those before it has no
+    higher rank than they.
+    """
+    f = Features(*string_bytes(pa.array(texts, pa.string())))
+    for rule in done:
+        f = f.take(np.flatnonzero(rule.passes(f)))
+    for rule in rules:  # once unmeasured: tables and caches
+        rule.passes(f.fork())
+    out, left, most = [], list(rules), float("inf")
+    while left:
+        tried = []
+        for rule in left:
+            fork, began = f.fork(), time.perf_counter()
+            ok = rule.passes(fork)
+            cost = (time.perf_counter() - began) / max(1, len(f)) + 1e-9
+            rejected = float(1 - ok.mean()) if len(ok) else 0.0
+            tried.append(((-rejected / cost, cost, rule.name), rule, rejected, fork, ok))
+        (rank, cost, name), rule, rejected, f, ok = min(tried, key=lambda x: x[0])
+        most = min(most, -rank)
+        out.append({"rule": name, "cost": cost, "rejected": rejected, "rank": most})
+        left.remove(rule)
+        f = f.take(np.flatnonzero(ok))
+    return out
 
-def plan_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules, ordered by rejections per second on at most `sample_rows` documents of at most SAMPLE_BYTES.
 
-    The sample (bounded by those two numbers) only sets the order of evaluation.
-    """
-    names = {r.name: r for r in rules}
+def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, parts: int = SAMPLE_PARTS) -> list[str | None]:
+    """At most `rows` texts of at most SAMPLE_BYTES, from the heads of at most `parts` evenly spaced partitions."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).take(sample_rows)
-    return tuple(names[x["rule"]] for x in order_rules([r.text for r in rows], rules))
+    data = docs.select(text.alias("text")).filter(text.isNull() | (F.octet_length(text) <= SAMPLE_BYTES)).rdd
+    n = data.getNumPartitions()
+    parts = min(n, parts, rows)
+    if not parts:
+        return []
+    each = rows // parts
+    chosen = [i * n // parts for i in range(parts)]
+    return [r.text for r in docs.sparkSession.sparkContext.runJob(data, lambda it: list(islice(it, each)), chosen)]
+
+
+def plan_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, done: tuple[Rule, ...] = ()) -> tuple[Rule, ...]:
+    """The rules in the order of `order_rules` on a bounded sample, which sets nothing but that order."""
+    names = {r.name: r for r in rules}
+    return tuple(names[x["rule"]] for x in order_rules(sample_texts(docs, text_col, sample_rows), rules, done))
 
 
 REPORT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Features, base verdict and the cascade's verdict of each document."""
+    """Base features and base verdict of each document; `kept` is the cascade's verdict on those the base rules leave."""
     bound_batches(docs.sparkSession)
-    cascade = tuple(r for r in plan_cascade(docs, text_col, rules, sample_rows) if r not in BASE_RULES)
+    cascade = plan_cascade(docs, text_col, tuple(r for r in rules if r not in BASE_RULES), sample_rows, BASE_RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,3 +294,35 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
                 yield b.slice(a, e - a).filter(pa.array(judge(Features(data, off), cascade)))
 
     return docs.mapInArrow(lean(run), docs.schema)
+
+
+ORACLE = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT r, k, i, list_slice(w, i, i + k - 1) AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (VALUES (2), (3), (4), (8)) AS s(k) WHERE len(w) >= k)
+), uses AS (
+  SELECT r, k, g, count(*) AS n, list(i) AS places FROM runs GROUP BY r, k, g
+), top AS (
+  SELECT r, max(n) FILTER (k = 2) AS top2, max(n) FILTER (k = 3) AS top3, max(n) FILTER (k = 4) AS top4 FROM uses GROUP BY r
+), repeated AS (
+  SELECT r, count(DISTINCT i + x) AS n_repeat_words
+  FROM (SELECT r, unnest(places) AS i FROM uses WHERE k = 8 AND n > 1), range(8) AS o(x) GROUP BY r
+), f AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+         len(string_split(text, chr(10))) AS n_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]'))) AS n_worded, len(list_distinct(w)) AS n_distinct,
+         coalesce(top2, 0) AS top2, coalesce(top3, 0) AS top3, coalesce(top4, 0) AS top4
+  FROM d LEFT JOIN top USING (r) LEFT JOIN repeated USING (r)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND 100 * n_symbols <= 25 * n_words AND 2 * n_dup_lines <= n_lines AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+       AND 100 * n_worded >= 70 * n_words AND (n_words < 200 OR 100 * n_distinct >= 2 * n_words)
+       AND (n_words < 50 OR 100 * top2 <= 10 * n_words AND 100 * top3 <= 6 * n_words AND 100 * top4 <= 4 * n_words) AS kept
+FROM b
+"""

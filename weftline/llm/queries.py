@@ -17,6 +17,7 @@ from weftline.llm.line_dedup import line_dedup
 from weftline.llm.mixing import ORACLE as MIX_SQL
 from weftline.llm.mixing import mix_sources
 from weftline.llm.ngram_join import jaccard_components
+from weftline.llm.quality_rules import ORACLE as QUALITY_SQL
 from weftline.llm.quality_rules import quality_report
 from weftline.llm.shared import Scratch
 from weftline.llm.substring_dedup import substring_dedup
@@ -101,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_source_mix": MIX_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_source_mix": MIX_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL}
