@@ -6,7 +6,7 @@ columns of `documents`; the last returns one row a document of the coded output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.decontaminate import remove_leaks
@@ -24,13 +24,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    groups = jaccard_components(docs)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # rows that share an id are one document
-    order = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return left.withColumn("row_", order).filter("row_ = 1 or doc_id is null").select(docs.columns)
+    """Of each group of linked documents the one with the smallest id stays; rows without an id stay.
+
+    Rows that share an id are documents of their own: one of them (the least by text hash)
+    stands for the id, the others come after all ids. Repeated rows are copies.
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    many, last = ids.agg(F.count_if(F.col("n") > 1), F.max("doc_id")).first()
+    if many:
+        scratch = Scratch(spark, "repeated")
+        again = ids.filter("n > 1").select("doc_id")
+        # numbered rows are written, so that a number stays with its row
+        rows = docs.join(again, "doc_id", "left_semi").select("*", F.monotonically_increasing_id().alias("row_"))
+        rows = scratch.write(rows, "rows")
+        first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "row_"))["row_"].alias("row_")).select("row_", F.lit(True).alias("first_"))
+        rows = rows.join(first, "row_", "left").select(*docs.columns, F.when(F.col("first_"), F.col("doc_id")).otherwise(F.lit(last + 1) + F.col("row_")).alias("node_"))
+        docs = docs.join(again, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias("node_")).union(rows)
+    else:
+        docs = docs.withColumn("node_", F.col("doc_id"))
+    groups = jaccard_components(docs, id_col="node_")
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("node_"))
+    return docs.join(gone, "node_", "left_anti").drop("node_")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, a written table between any two."""
-    scratch = Scratch(spark, "stages")
+    scratch, before = Scratch(spark, "stages"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:  # its reader is written
+            scratch.drop(before)
+        before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop(before)
+    return out
