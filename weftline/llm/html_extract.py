@@ -7,16 +7,22 @@ space inside a block is one space; `<br>` is white space; references are decoded
 
 1. Boilerplate regions are left out by what they declare: scripts, styles, forms, nav,
    page headers and footers, asides, hidden parts, and containers whose class, id or
-   role names menus, notices, adverts, comments and the like.
+   role names menus, notices, adverts, comments and the like: as a whole name
+   (`comment`), as its last part (`cookie-notice`) or followed by words of layout only
+   (`ad-box`, but not `social-science`). Articles are left out by a whole name only.
+   A part left out inside a line does not end the line.
 2. Of what remains, the text-to-tag ratio per block is smoothed by a Gaussian kernel
    and clustered around a threshold (the smaller of half the standard deviation and half
-   the mean). Each block above it votes with its text for the regions that hold it.
+   the mean). A list or container that is mostly links, its own ratio below the threshold,
+   is a menu unless it stands in an article or main. Each block at the threshold or above
+   votes with its text for the regions that hold it. Blocks of menus do not, nor do short
+   ones that only their neighbours lift while most of the container around them is below.
 3. The content regions are every article with votes and every main with votes outside
    its articles. If they hold less than half of the vote (or there are none), the region
-   is the smallest container (section, div and the like) that holds the whole vote. All
-   remaining blocks in the regions are the text, short ones too, in page order, one line
-   each. If only the page itself holds the whole vote, the text is the blocks from the
-   first to the last one above the threshold.
+   is the smallest container (section, div and the like) that holds the whole vote,
+   without menus. All remaining blocks in the regions are the text, short ones too, in page
+   order, one line each. If only the page itself holds the whole vote, the text is the
+   blocks from the first to the last one that votes, without menus.
 
 Null, empty and textless pages give an empty text. Null ids and repeated rows pass
 through, each row alone; further columns are dropped. Memory follows one page.
@@ -42,6 +48,8 @@ SKIPPED = frozenset("script style noscript template head title form nav footer a
 SEMANTIC = frozenset(("article", "main"))
 PAGE = frozenset(("", "html", "body"))
 CONTAINERS = PAGE | SEMANTIC | {"section", "div", "center"}
+GROUPS = CONTAINERS | {"ul", "ol", "dl", "table"}
+IN_LINE = INLINE | frozenset("script style noscript template iframe object svg canvas select textarea button audio video math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,23 +61,35 @@ MARKED = frozenset(
     "header masthead topbar footer contentinfo colophon copyright "
     "sidebar aside complementary widget related recommended recommendations "
     "notice cookie cookies consent gdpr alert popup modal overlay toast disclaimer newsletter subscribe subscription signup login "
-    "comment comments disqus respond replies reply discussion "
+    "comment comments disqus respond replies reply "
     "share sharing social search form hidden".split()
 )
 # Names that only say what a layout has, and those of an article's own head.
-LAYOUT = frozenset(("has", "with", "no", "without"))
+LAYOUT = frozenset(("has", "with", "no", "without", "long"))
+# Words of layout that may follow such a name.
+PARTS = frozenset(
+    "container wrapper wrap box list item items link links area section block bar inner outer content panel slot unit left right top bottom "
+    "col column row title text body icon icons button buttons group main primary secondary thread holder frame".split()
+)
 HEADS = frozenset(("header", "masthead"))
 WHITE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA = 1.5
 
 
 class _Region:
-    __slots__ = ("tag", "parent", "depth", "skip", "head", "vote")
+    __slots__ = ("tag", "parent", "depth", "skip", "head", "vote", "quiet", "chars", "link_chars", "tags", "blocks", "inside", "high")
 
-    def __init__(self, tag: str, parent: _Region | None, skip: bool, head: bool = False):
+    def __init__(self, tag: str, parent: _Region | None, skip: bool, head: bool = False, quiet: bool = False):
         self.tag, self.parent, self.skip, self.head, self.vote = tag, parent, skip, head or tag == "header", 0
         self.depth = parent.depth + 1 if parent else 0
+        # inside a part that is left out of a line
+        self.quiet = quiet or bool(parent and parent.quiet)
+        # of the blocks for which this is the innermost group
+        self.chars = self.link_chars = self.tags = 0
+        # of all blocks inside: their number, characters, and characters of those above the threshold
+        self.blocks = self.inside = self.high = 0
 
 
 class Blocks(HTMLParser):
@@ -78,16 +98,29 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.region = _Region("", None, False)
-        self.inline: list[str] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.anchors = self.link_chars = 0
         self.blocks: list[tuple[str, int, _Region]] = []
 
     def flush(self) -> None:
+        """Ends the block, which belongs to the region around any part left out of its line."""
+        region = self.region
+        while region.quiet:
+            region = region.parent
         text = WHITE.sub(" ", "".join(self.parts)).strip()
-        if text and not self.region.skip:
-            self.blocks.append((text, self.tags, self.region))
-        self.parts, self.tags = [], 0
+        if text and not region.skip:
+            self.blocks.append((text, self.tags, region))
+            group = self.group(region)
+            group.chars += len(text)
+            group.link_chars += self.link_chars
+            group.tags += max(1, self.tags)
+        self.parts, self.tags, self.anchors, self.link_chars = [], 0, 0, 0
+
+    @staticmethod
+    def group(region: _Region) -> _Region:
+        while region.tag not in GROUPS:
+            region = region.parent
+        return region
 
     def _skips(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.region.skip or tag in SKIPPED:
@@ -95,22 +128,27 @@ class Blocks(HTMLParser):
             return not (self.region.head and tag in HEADINGS and self._within_article(self.region))
         if tag == "header":
             return True
-        if tag in SEMANTIC or tag in ("html", "body"):
+        if tag in ("main", "html", "body"):
             return False
         for k, v in attrs:
             if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 return True
-        return bool(self._marks(attrs))
+        return bool(self._marks(attrs, tag == "article"))
 
     @staticmethod
-    def _marks(attrs: list[tuple[str, str | None]]) -> set[str]:
+    def _marks(attrs: list[tuple[str, str | None]], whole: bool = False) -> set[str]:
+        """The marks that class, id and role name, only whole names if `whole`."""
         found: set[str] = set()
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 for name in v.split():
-                    parts = NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-                    if LAYOUT.isdisjoint(parts):
-                        found |= MARKED.intersection(parts)
+                    parts = NAME.findall(CAMEL.sub("-", name).lower())
+                    if not parts or not LAYOUT.isdisjoint(parts) or whole and len(parts) > 1:
+                        continue
+                    if parts[-1] in MARKED:
+                        found.add(parts[-1])
+                    elif parts[0] in MARKED and PARTS.issuperset(parts[1:]):
+                        found.add(parts[0])
         return found
 
     @staticmethod
@@ -132,22 +170,25 @@ class Blocks(HTMLParser):
                 return
             r = r.parent
         if r.parent:
-            self.flush()
+            if not r.quiet:
+                self.flush()
             self.region = r.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in INLINE:
-            self.tags += 1
+        if tag in IN_LINE:
+            self.tags += not self.region.quiet
             if tag == "br":
                 self.parts.append(" ")
-            elif self._skips(tag, attrs) and tag not in VOID:
-                self.flush()
-                self.region = _Region(tag, self.region, True)
+            elif tag not in VOID and self._skips(tag, attrs):
+                self.region = _Region(tag, self.region, True, quiet=True)
+            elif tag == "a":
+                self.anchors += 1
             return
-        self.flush()
-        self.tags += 1
-        if tag in CLOSES_P:
-            self._leave("p", {"article", "main", "section", "div", "td", "li", "blockquote", "button"})
+        if not self.region.quiet:
+            self.flush()
+            self.tags += 1
+            if tag in CLOSES_P:
+                self._leave("p", {"article", "main", "section", "div", "td", "li", "blockquote", "button"})
         for other in SIBLINGS.get(tag, ()):
             self._leave(other, SCOPES[tag])
         if tag not in VOID:
@@ -156,19 +197,24 @@ class Blocks(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
+        if tag not in VOID and (tag not in IN_LINE or self.region.quiet and self.region.tag == tag):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in INLINE and not (self.region.skip and self.region.tag == tag):
-            self.tags += 1
+        if tag in IN_LINE and not (self.region.quiet and self.region.tag == tag):
+            self.tags += not self.region.quiet
+            if tag == "a" and self.anchors:
+                self.anchors -= 1
             return
-        self.flush()
+        if not self.region.quiet:
+            self.flush()
         self._leave(tag)
 
     def handle_data(self, data):
         if not self.region.skip:
             self.parts.append(data)
+            if self.anchors:
+                self.link_chars += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -187,9 +233,21 @@ def main_text(html: str | None) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in blocks]))
-    content = ratio >= min(ratio.std(), ratio.mean()) / 2
-    at = np.flatnonzero(content)
+    raw = np.array([len(t) / max(1, n) for t, n, _ in blocks])
+    ratio = smooth(raw)
+    threshold = min(ratio.std(), ratio.mean()) / 2
+    groups = [parser.group(r) for _, _, r in blocks]
+    menu = np.array([2 * g.link_chars > g.chars and g.chars < threshold * g.tags and not any(r.tag in SEMANTIC for r in _path(g)) for g in groups])
+    high = ratio >= threshold
+    for (text, _, leaf), h in zip(blocks, high.tolist(), strict=True):
+        for r in _path(leaf):
+            r.blocks, r.inside, r.high = r.blocks + 1, r.inside + len(text), r.high + h * len(text)
+    for i in np.flatnonzero(high & (raw < threshold)):
+        around = next((r for r in _path(blocks[i][2]) if r.tag in GROUPS and r.blocks > 1), None)
+        high[i] = around is None or 2 * around.high >= around.inside
+    at = np.flatnonzero(high & ~menu)
+    if not len(at):  # nothing but links
+        return ""
     total, declared, kept = 0, 0, set()
     for i in at:
         text, _, leaf = blocks[i]
@@ -202,8 +260,8 @@ def main_text(html: str | None) -> str:
     if 2 * declared < total or not kept:  # no article or main, or only teasers
         best = max((r for r in _path(blocks[at[0]][2]) if r.tag in CONTAINERS and r.vote == total), key=lambda r: r.depth)
         if best.tag in PAGE:  # the page itself: no container holds the content
-            return "\n".join(t for t, _, _ in blocks[at[0] : at[-1] + 1])
-        kept = {best}
+            return "\n".join(blocks[i][0] for i in range(at[0], at[-1] + 1) if not menu[i])
+        return "\n".join(t for (t, _, r), m in zip(blocks, menu, strict=True) if not m and any(p is best for p in _path(r)))
     return "\n".join(t for t, _, r in blocks if any(p in kept for p in _path(r)))
 
 
