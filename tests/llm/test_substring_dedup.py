@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from tests.llm import brute
-from weftline.llm.substring_dedup import substring_dedup
+from weftline.llm import substring_dedup as module
+from weftline.llm.substring_dedup import factors, substring_dedup
 
 
 def run(spark, rows, schema="doc_id long, text string", **kw):
@@ -51,3 +54,55 @@ def test_edges(spark):
     assert sorted(r.n_removed for r in extra) == [0, 60]
     long = " ".join(str(i) for i in range(400_000))
     assert sorted(r.n_removed for r in run(spark, [(1, long), (2, long)], texts=False)) == [0, 400_000]
+
+
+def rebuilt(rows, got):
+    """Each text from its literals and, through its factors, from other documents' words."""
+    split = {i: brute.words(t) for i, t in rows}
+    for r in got:
+        w, out, pos = split[r.doc_id], [], 0
+        for f in r.factors:
+            assert f.start >= pos and f.length > 0 and f.reference < r.doc_id
+            out += w[pos : f.start] + split[f.reference][f.reference_start : f.reference_start + f.length]
+            pos = f.start + f.length
+        assert out + w[pos:] == w
+        assert sum(f.length for f in r.factors) == r.n_removed == sum(s.end - s.start for s in r.spans)
+
+
+def test_factors_rebuild_the_texts(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = run(spark, rows)
+    rebuilt(rows, got)
+    assert sum(len(r.factors) for r in got) > 20
+    rng = random.Random(9)
+    base = [rng.choice("abcde") for _ in range(80)]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randint(0, 5)):
+            a = rng.randint(0, 70)
+            w += base[a : a + rng.randint(1, 30)] + [str(rng.randint(0, 2))]
+        rows.append((i, " ".join(w)))
+    rebuilt(rows, run(spark, rows, window=6, gram=3))
+
+
+def test_the_longest_match_is_the_next_factor():
+    # row 0: reference 1 holds words 0 to 10, reference 2 words 4 to 14, reference 3 words 5 to 30 in two matches; then a gap
+    row, at, n, ref, ref_at = (np.array(x) for x in zip((0, 0, 6, 1, 100), (0, 4, 6, 2, 0), (0, 5, 11, 3, 7), (0, 16, 10, 3, 18), (0, 40, 1, 4, 0), (2, 1, 1, 5, 1), strict=True))
+    got = factors(row, at, n, ref, ref_at, 5)
+    assert got.tolist() == [[0, 0, 10, 1, 100], [0, 10, 30, 3, 12], [0, 40, 45, 4, 0], [2, 1, 6, 5, 1]]
+    assert factors(*(np.zeros(0, np.int64),) * 5, 5).shape == (0, 5)
+
+
+def test_anchors_do_not_depend_on_the_position():
+    """The same passage at the end of a text of 17 million words (more than 2^24) and alone has the same blocks."""
+    words = module.Words
+    passage = " ".join(f"w{i}" for i in range(300)).encode()
+    long = np.frombuffer(b"a " * ((1 << 24) + 1000) + passage, np.uint8)
+    alone = np.frombuffer(passage, np.uint8)
+    keys = []
+    for data in (long, alone):
+        _, first, n, anchor, one, two = module.blocks(words(data, np.array([0, len(data)])), 50, 8)
+        keys.append(set(zip(anchor.tolist(), n.tolist(), one.tolist(), two.tolist(), strict=True)))
+    # all but the first block, which the words before it lengthen
+    assert len(keys[1]) > 8 and len(keys[1] - keys[0]) <= 1

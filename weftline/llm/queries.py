@@ -20,6 +20,7 @@ from weftline.llm.ngram_join import jaccard_components
 from weftline.llm.quality_rules import ORACLE as QUALITY_SQL
 from weftline.llm.quality_rules import quality_report
 from weftline.llm.shared import Scratch
+from weftline.llm.substring_dedup import ORACLE as SUBSTRING_SQL
 from weftline.llm.substring_dedup import substring_dedup
 from weftline.llm.token_output import read_index, write_tokens
 
@@ -102,4 +103,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_source_mix": MIX_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL}
+#: A turn is written in 15 characters around role and text. A backslash in its text doubles its backslashes, a line's end
+#: after the closing mark puts one before each control string too.
+CHAT_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), e AS (
+  SELECT *, contains(text, ' </turn>' || chr(10)) AS closes, length(text) - length(replace(text, chr(92), '')) AS backs,
+         len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '###' OR substr(text, i, 2) = ': ' OR substr(text, i, 8) = ' </turn>')) AS marks
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(15 + length(role) + length(text) + backs + CASE WHEN closes THEN marks ELSE 0 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING_SQL, "op7_chat_format": CHAT_SQL, "op3_license_scan": license_sql(), "op4_source_mix": MIX_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_quality_rules": QUALITY_SQL}
