@@ -133,3 +133,31 @@ def test_many_edits_of_one_text(spark, seed):
         want = brute.components(rows, percent=percent)
         assert got(spark, rows, percent=percent) == want
         assert percent != 80 or len({c for _, c in want.values()}) > 3
+
+
+def test_hot_entries_are_counted_like_others(spark, monkeypatch):
+    """A group of near copies and one of exact copies that make most rows; only the result's table stays."""
+    import os
+
+    from weftline.llm import ngram_join
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base)) for i in range(150)] + [(150 + i, " ".join(base[:199] + [f"z{i}"])) for i in range(150)]
+    rows += [(300 + i, " ".join(rng.choice(base) for _ in range(40))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(rows)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 1)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 3)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    got = ngram_join.jaccard_components(df)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+    assert [os.listdir(f"{shared}/{d}") for d in set(os.listdir(shared)) - before] == [["result"]]
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{i % 5003}x{i % 41}" for i in range(150_000))
+    rows = [(2, long), (1, long + " end"), (3, " ".join(reversed(long.split()))), (4, "short text")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -53,7 +53,9 @@ def boilerplate_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     near = spread.filter(F.col("n") <= sites + margin).select("a", "b")
     exact = lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.countDistinct("site").alias("n"))
     found = spread.filter(F.col("n") > sites + margin).select("a", "b").union(exact.filter(F.col("n") >= sites).select("a", "b"))
-    return scratch.write(found, "lines")
+    lines = scratch.write(found, "lines")
+    scratch.drop("spread")
+    return lines
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:

@@ -60,6 +60,7 @@ from weftline.llm.shared import Scratch, bound_batches, lean
 from weftline.llm.textkit import Words, mix, pieces, shingle_sets
 
 LAYERS = 24
+HOT, HOT_ROWS, SAMPLE = 100_000, 32, 64
 SKETCH = 1024
 VERIFY_ROWS = 256
 
@@ -292,6 +293,24 @@ def _meeting(prefixes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("v")).distinct()
 
 
+def _shared(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, entry, n) of the entries with more than one id, n of them.
+
+    A window counts an entry's ids in one task, so the entries that a large part of all
+    documents has are counted apart, by aggregation before the shuffle: those with at least
+    1 / HOT of a sample's rows, HOT at most, which is the bound of what is broadcast. An
+    entry that the sample misses is counted by the window, only in a larger task.
+    """
+    sample = entries.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy("entry").agg(F.count("*").alias("n"))
+    all_rows = sample.agg(F.sum("n")).first()[0] or 0
+    hot = scratch.write(sample.filter(F.col("n") >= max(HOT_ROWS, all_rows // HOT)).select("entry"), "hot")
+    many = entries.join(F.broadcast(hot), "entry").groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1")
+    many = entries.join(F.broadcast(many), "entry").select("doc_id", "entry", "n")
+    few = entries.join(F.broadcast(hot), "entry", "left_anti")
+    few = few.withColumn("n", F.count("*").over(Window.partitionBy("entry"))).filter("n > 1")
+    return few.unionByName(many)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of each row."""
     if not 50 < percent <= 100:
@@ -310,11 +329,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = ids.select("doc_id", "set1", "set2").join(classes, ["set1", "set2"]).filter("doc_id != node").select("doc_id", "node")
     copies = scratch.write(copies.distinct(), "copies")
 
-    # index entries with more than one id
     entries = full.filter("doc_id is not null and n_shingles > 0").select("doc_id", F.explode("entries").alias("entry"))
-    entries = entries.withColumn("n", F.count("*").over(Window.partitionBy("entry"))).filter("n > 1")
-    members = scratch.write(entries.join(copies.select("doc_id"), "doc_id", "left_anti").distinct(), "members")
-    scratch.drop("sets")
+    members = scratch.write(_shared(entries, scratch).join(copies.select("doc_id"), "doc_id", "left_anti").distinct(), "members")
+    scratch.drop("sets", "hot")
     # an entry's leader is its node with the most company in all its entries: of edited copies, the least edited
     company = members.groupBy("doc_id").agg(F.sum("n").alias("company"))
     best = F.max_by("doc_id", F.struct("company", (-F.col("doc_id")).alias("first"))).alias("v")
@@ -337,6 +354,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     late = scratch.write(_compared(rest, src, k, percent).select("u", "v", "linked"), "late")
     links = part.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late.filter("linked").select("u", "v")).union(copies.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
     final = components(links, scratch, "all")
-    scratch.drop("classes", "members", "tested", "prefixes", "late", "copies")
     out = sets.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = scratch.write(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
+    scratch.keep("result")
+    return out

@@ -50,6 +50,12 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        self.drop(*(n for n in (f.getPath().getName() for f in found) if n not in names))
+
 
 def give_back() -> None:
     """Returns this process's freed memory to the system, where the C library can."""
