@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from weftline.catalog import graph, logs, more, rules, sinks, texts  # noqa: F401
+    from weftline.catalog import graph, logs, more, rules, sinks, structure, texts  # noqa: F401
 
 
 load()

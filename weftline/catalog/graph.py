@@ -131,7 +131,8 @@ def _(t):
 @query("graph_query_block", "SELECT id, display_label AS name, count(*) OVER () AS node_count FROM nodes WHERE list_has_any(tags, ['cheap'])")
 def _(t):
     found = q.query_nodes(t.nodes, "BY_TAGS", tags=["cheap"])
-    return found.select("id", F.col("display_label").alias("name"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("node_count"))
+    # the number is one row, joined to all
+    return found.select("id", F.col("display_label").alias("name")).join(F.broadcast(found.agg(F.count("*").alias("node_count"))))
 
 
 @query("class_by_fqn", "SELECT id, package || '.' || 'Class' || key AS fqn FROM classes WHERE package || '.' || 'Class' || key LIKE 'com.asia.%.Class7'")
@@ -255,32 +256,50 @@ def _(t):
     return tg.multi_producers(t.rule_tags[0])
 
 
-_FORM = "regexp_replace(regexp_replace(lower(name), '" + "|".join(tg.NOISE) + "', '', 'g'), '[^a-z0-9]', '', 'g')"
+_FORM = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+regexp_replace(regexp_replace(lower({0}), '[._-]', '', 'g'), 'detected?', '', 'g'), 'found', ''), 'usage', ''), 'used', ''), 'pattern', ''), 'template', ''), 'config', ''), 'configuration', ''),
+'impl', ''), 'implementation', ''), 'mgmt', ''), 'management', ''), 'svc', ''), 'service', ''), 's$', ''), '[0-9]+', '', 'g'))"""
 
 
-@query("sim_pairs", f"WITH f AS (SELECT name, {_FORM} AS form FROM names) SELECT a.name AS a, b.name AS b, levenshtein(a.form, b.form)::INT AS distance FROM f a, f b WHERE a.name < b.name AND levenshtein(a.form, b.form) <= greatest(1, least(length(a.form), length(b.form)) // 3)")
+@query("sim_pairs", f"WITH f AS (SELECT name, {_FORM.format('name')} AS form FROM names) SELECT a.name AS a, b.name AS b, levenshtein(a.form, b.form)::INT AS distance FROM f a, f b WHERE a.name < b.name AND levenshtein(a.form, b.form) <= greatest(1, least(length(a.form), length(b.form)) // 3)")
 def _(t):
     return tg.similar_pairs(t.names)
 
 
-_CANON = "upper(name)"
-for _a, _b in tg.PAIRED:
-    _CANON = f"regexp_replace(regexp_replace({_CANON}, '(^|_){_a}_', '\\1{_b}_', 'g'), '(^|_){_a}$', '\\1{_b}', 'g')"
+_WORDS = "('DETECTED', 'FOUND'), ('DETECTOR', 'FINDER'), ('USAGE', 'USED'), ('PATTERN', 'TEMPLATE'), ('CONFIG', 'CONFIGURATION'), ('IMPL', 'IMPLEMENTATION'), ('MGMT', 'MANAGEMENT'), ('SVC', 'SERVICE')"
+_NAMED = "SELECT DISTINCT replace(upper(p_brand), '#', '_') || (['_SVC', '_SERVICE', '_USAGE', '_USED', '_IMPL_2', '_IMPLEMENTATION', '_MGMT', '_MANAGEMENT_DB', '_JDBC_DETECTOR', '_DATABASE_FINDER', '_TX_CONFIG', '_TRANSACTION', '_WEBAPP', '_EJB_HOME'])[p_size % 14 + 1] AS name FROM part"
 
 
-@query("pattern_pairs", f"WITH f AS (SELECT name, {_CANON} AS form FROM names) SELECT a.name AS a, b.name AS b FROM f a JOIN f b USING (form) WHERE a.name < b.name")
+def _named(t):
+    """Brands with words that have a partner or a context."""
+    ends = ("_SVC", "_SERVICE", "_USAGE", "_USED", "_IMPL_2", "_IMPLEMENTATION", "_MGMT", "_MANAGEMENT_DB", "_JDBC_DETECTOR", "_DATABASE_FINDER", "_TX_CONFIG", "_TRANSACTION", "_WEBAPP", "_EJB_HOME")
+    end = F.element_at(F.array(*map(F.lit, ends)), F.col("p_size") % 14 + 1)
+    return t["part"].select(F.concat(F.replace(F.upper("p_brand"), F.lit("#"), F.lit("_")), end).alias("name")).distinct()
+
+
+@query("pattern_pairs", f"WITH n AS (SELECT * FROM names UNION {_NAMED}), w AS (SELECT * FROM (VALUES {_WORDS}) AS v(x, y)), f AS (SELECT x, y, name, contains(name, x) AS hx, contains(name, y) AS hy, replace(replace(name, x, ''), y, '') AS base FROM n, w), g AS (SELECT *, {_FORM.format('base')} AS form FROM f) SELECT DISTINCT a.name AS a, b.name AS b FROM g a JOIN g b USING (x, y, form) WHERE a.name < b.name AND (a.hx AND b.hy OR a.hy AND b.hx)")
 def _(t):
-    return tg.pattern_pairs(t.names)
+    return tg.pattern_pairs(t.names.union(_named(t)).distinct(), any_case=False)
 
 
-@query("insp_dups", f"SELECT {_FORM} AS form, string_agg(name, ',' ORDER BY name) AS names FROM names GROUP BY 1 HAVING count(*) > 1")
+@query("insp_dups", f"SELECT {_FORM.format('name')} AS form, string_agg(name, ',' ORDER BY name) AS names FROM names GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     return tg.normal_groups(t.names)
 
 
-@query("ctx_pairs", f"WITH g AS (SELECT DISTINCT left(p_brand, 7) AS brand, lower(p_type) AS name FROM part), f AS (SELECT *, {_FORM} AS form FROM g) SELECT a.brand, a.name AS a, b.name AS b, levenshtein(a.form, b.form)::INT AS distance FROM f a JOIN f b ON a.brand = b.brand WHERE a.name < b.name AND levenshtein(a.form, b.form) <= greatest(1, least(length(a.form), length(b.form)) // 3)")
+_CONTEXT = """WITH n AS ({named}), c AS (
+  SELECT 'ejb_context' AS context, name, replace(replace(replace(replace(replace(name, 'ENTERPRISE_BEAN', ''), 'MESSAGE_DRIVEN', ''), 'SESSION_BEAN', ''), 'ENTITY_BEAN', ''), 'EJB', '') AS rest FROM n WHERE regexp_matches(upper(name), 'EJB|ENTERPRISE_BEAN|SESSION_BEAN|ENTITY_BEAN|MESSAGE_DRIVEN')
+  UNION ALL SELECT 'web_context', name, replace(replace(replace(replace(replace(name, 'SERVLET', ''), 'WEBAPP', ''), 'HTTP', ''), 'JSP', ''), 'WEB', '') FROM n WHERE regexp_matches(upper(name), 'SERVLET|JSP|WEB|HTTP|WEBAPP')
+  UNION ALL SELECT 'data_context', name, replace(replace(replace(replace(replace(replace(name, 'HIBERNATE', ''), 'DATABASE', ''), 'JDBC', ''), 'JPA', ''), 'SQL', ''), 'DB', '') FROM n WHERE regexp_matches(upper(name), 'DATABASE|DB|SQL|JDBC|JPA|HIBERNATE')
+  UNION ALL SELECT 'config_context', name, replace(replace(replace(replace(replace(name, 'CONFIGURATION', ''), 'PROPERTIES', ''), 'SETTINGS', ''), 'CONFIG', ''), 'PARAMS', '') FROM n WHERE regexp_matches(upper(name), 'CONFIG|CONFIGURATION|PROPERTIES|SETTINGS|PARAMS')
+  UNION ALL SELECT 'transaction_context', name, replace(replace(replace(replace(replace(name, 'TRANSACTIONAL', ''), 'TRANSACTION', ''), 'ROLLBACK', ''), 'COMMIT', ''), 'TX', '') FROM n WHERE regexp_matches(upper(name), 'TRANSACTION|TX|TRANSACTIONAL|COMMIT|ROLLBACK')
+), f AS (SELECT *, {form} AS form FROM c)
+SELECT a.context, a.name AS a, b.name AS b, levenshtein(a.form, b.form)::INT AS distance FROM f a JOIN f b USING (context) WHERE a.name < b.name AND levenshtein(a.form, b.form) <= greatest(1, least(length(a.form), length(b.form)) // 3)"""
+
+
+@query("ctx_pairs", _CONTEXT.format(named=_NAMED, form=_FORM.format("rest")))
 def _(t):
-    return tg.similar_pairs(t["part"].select(F.substring("p_brand", 1, 7).alias("brand"), F.lower("p_type").alias("name")), "name", "brand")
+    return tg.context_pairs(_named(t))
 
 
 @query("skip_existing", "SELECT id FROM nodes WHERE node_type = 'part' AND id NOT IN (SELECT target_id FROM edges WHERE edge_type = 'uses' AND source_id < 's:5')")

@@ -129,15 +129,16 @@ def _(t):
     return tg.newest(t.plan_runs, ["plan"], "completed_at", 3, "block").select("plan", "block", F.col("rank").cast("long").alias("rank"))
 
 
-@query("microbatch_flush")
+@query("microbatch_flush", "SELECT call_id, ts, pattern, success, matches FROM calls")
 def _(t):
-    """The whole call log through the streaming flush into monthly folders, read back; rows only."""
+    """The whole call log through the streaming flush into monthly folders, read back."""
     from weftline.plans.scratch import Rounds
+    from weftline.schema import JSON_TIME
     from weftline.sources.calls import read_calls
     from weftline.streaming.flush import flush_calls
 
     at = Rounds(t.spark, "flush").path
-    t.calls.write.json(f"{at}/in")
+    t.calls.withColumn("ts", F.col("ts").cast("timestamp")).write.option("timestampFormat", JSON_TIME).json(f"{at}/in")
     flush_calls(t.spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
     return read_calls(t.spark, f"{at}/out").select("call_id", "ts", "pattern", "success", "matches")
 

@@ -59,6 +59,29 @@ def _(t):
     return mg.delete_nodes(t.nodes, t.edges, gone)[1].select("source_id", "target_id")
 
 
+@query("sink_delete_edge", "SELECT source_id, target_id, edge_type FROM edges WHERE NOT (edge_type = 'uses' AND source_id = 's:1')")
+def _(t):
+    """Edges deleted by their triple."""
+    gone = t.edges.filter("edge_type = 'uses' and source_id = 's:1'")
+    return mg.delete_edges(t.edges, gone).select("source_id", "target_id", "edge_type")
+
+
+@query("sink_delete_edges_of_node", "SELECT source_id, target_id, edge_type FROM edges WHERE source_id NOT IN ('n:3', 's:2') AND target_id NOT IN ('n:3', 's:2')")
+def _(t):
+    """Edges deleted by either end; the nodes stay."""
+    return mg.delete_edges_of(t.edges, t.nodes.filter("id in ('n:3', 's:2')")).select("source_id", "target_id", "edge_type")
+
+
+@query("sink_delete_all", "SELECT 'edges' AS what, 0::BIGINT AS n UNION ALL SELECT 'nodes', 0::BIGINT")
+def _(t):
+    """Everything deleted in a saved graph: its folders are empty, its schema stays."""
+    at = Rounds(t.spark, "graph").path
+    store.save_graph(t.graph, at)
+    store.delete_graph(t.spark, at)
+    g = store.load_graph(t.spark, at)
+    return g.edges.agg(F.lit("edges").alias("what"), F.count("*").alias("n")).unionByName(g.nodes.agg(F.lit("nodes").alias("what"), F.count("*").alias("n")))
+
+
 @query("csv_pivot", "SELECT id, node_type AS type, display_label AS label, list_contains(tags, 'cheap') AS tag_cheap, list_contains(tags, 'large') AS tag_large, list_contains(tags, 'rich') AS tag_rich, metrics['retailprice'] AS metric_retailprice, metrics['size'] AS metric_size FROM nodes WHERE node_type = 'part'")
 def _(t):
     return mt.pivoted(t.nodes, "part", ["cheap", "large", "rich"], ["retailprice", "size"])
@@ -138,8 +161,8 @@ def _(t):
     return store.dot_lines(t.graph)
 
 
-@query("validate_properties")
+@query("validate_properties", "SELECT id, rule, key FROM nodes, (VALUES ('required', 'owner'), ('not_boolean', 'is_open'), ('not_numeric', 'metrics.x')) AS v(rule, key) WHERE node_type = 'supplier' UNION ALL SELECT id, 'negative', 'acctbal' FROM nodes WHERE node_type = 'supplier' AND metrics['acctbal'] < 0")
 def _(t):
-    """Violations of nodes with broken properties; rows only, the fixture is in the tests."""
+    """Violations of nodes with broken properties; more of them are in the tests' fixture."""
     bad = t.nodes.filter("node_type = 'supplier'").withColumn("properties", F.map_concat("properties", F.create_map(F.lit("is_open"), F.lit("maybe"), F.lit("metrics.x"), F.lit("many"))))
     return mt.validate(bad, ["nation", "owner"])

@@ -134,6 +134,45 @@ class Tables:
         level = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "ODD"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
         return self["orders"].select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("label"), (F.col("o_totalprice") - 1000).alias("value"), (F.col("o_orderstatus") == "F").alias("flag"), F.when(F.col("o_orderkey") % 9 != 0, level).alias("level"), F.col("o_orderdate").alias("seen_at"), F.col("o_orderkey").alias("seq"))
 
+    @cached_property
+    def units(self) -> DataFrame:
+        """Parts as parsed classes."""
+        return self["part"].selectExpr(
+            "concat('p', p_partkey) AS id",
+            "element_at(array('OrderCache', 'UserFactory', 'AppConfig', 'SecurityGate', 'AuditInterceptor', 'PlainThing', 'ItemRegistry', 'DateUtils'), p_size % 8 + 1) AS name",
+            "element_at(array('STATELESS', 'STATEFUL', 'ENTITY', 'MESSAGE_DRIVEN', 'SINGLETON', NULL), cast(p_partkey % 6 + 1 AS int)) AS kind",
+            "p_partkey % 9 = 0 AS is_interface",
+            "CASE p_partkey % 7 WHEN 0 THEN array('RolesAllowed') WHEN 1 THEN array('Stateless') WHEN 2 THEN array('Entity', 'Interceptor') WHEN 3 THEN array('MessageDriven') WHEN 4 THEN array('Stateful') ELSE cast(array() AS array<string>) END AS annotations",
+            "CASE p_size % 7 WHEN 0 THEN array('SessionBean') WHEN 1 THEN array('EntityBean') WHEN 2 THEN array('MessageDrivenBean') WHEN 3 THEN array('EJBHome') WHEN 4 THEN array('javax.ejb.EJBObject') WHEN 5 THEN array('HttpServlet') ELSE array('EJBLocalHome') END AS supertypes",
+            "CASE p_partkey % 5 WHEN 0 THEN array('java.util.List', 'javax.naming.InitialContext') WHEN 1 THEN array('java.util.concurrent.Future') WHEN 2 THEN array('javax.interceptor.InvocationContext') ELSE cast(array() AS array<string>) END AS imports",
+            "p_partkey % 4 = 0 AS private_constructor",
+        )
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        """Lines as fields of the classes."""
+        return self["lineitem"].selectExpr(
+            "concat('p', l_partkey) AS id",
+            "element_at(array('itemCache', 'log', 'count', 'MAX_SIZE', 'dataSource', 'SERVER_URL', 'state'), cast((l_orderkey + l_linenumber) % 7 + 1 AS int)) AS name",
+            "element_at(array('HashMap', 'Logger', 'int', 'ArrayList', 'DataSource', 'EntityManager', 'Event', 'LruCache', 'ItemRegistry'), cast(l_suppkey % 9 + 1 AS int)) AS type",
+            "l_quantity < 20 AS is_static",
+            "l_discount > 0.05 AS is_final",
+            "CASE l_linenumber % 5 WHEN 0 THEN array('Inject') WHEN 1 THEN array('Resource') WHEN 2 THEN array('EJB', 'Resource') ELSE cast(array() AS array<string>) END AS annotations",
+        )
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        """Lines as methods of the classes."""
+        return self["lineitem"].selectExpr(
+            "concat('p', l_partkey) AS id",
+            "element_at(array('createOrder', 'getInstance', 'lookupHome', 'openConnection', 'saveAll', 'ejbCreate', 'BuildView', 'closeResultSet', 'run', 'loginUser', 'aroundCall'), cast(l_orderkey % 11 + 1 AS int)) AS name",
+            "element_at(array('void', 'String', 'OrderCache'), l_linenumber % 3 + 1) AS return_type",
+            "l_tax > 0.04 AS is_static",
+            "l_returnflag <> 'R' AS is_public",
+            "l_quantity > 40 AS is_synchronized",
+            "CASE l_suppkey % 8 WHEN 0 THEN array('PostConstruct') WHEN 1 THEN array('DenyAll') WHEN 2 THEN array('Override') WHEN 3 THEN array('javax.ejb.AroundInvoke') ELSE cast(array() AS array<string>) END AS annotations",
+        )
+
     @cached_property
     def names(self) -> DataFrame:
         """Names for similarity: customer segments with statuses, part brands and types."""
@@ -191,6 +230,16 @@ SELECT 'plan' || (o_custkey % 20) AS plan, o_orderpriority AS phase, 't' || (o_c
     "versions": """
 SELECT 'c:' || o_custkey AS id, o_orderpriority AS label, o_totalprice - 1000 AS value, o_orderstatus = 'F' AS flag,
   CASE WHEN o_orderkey % 9 <> 0 THEN (['LOW', 'MEDIUM', 'HIGH', 'ODD'])[o_orderkey % 4 + 1] END AS level, o_orderdate AS seen_at, o_orderkey AS seq FROM orders""",
+    "units": """
+SELECT 'p' || p_partkey AS id, p_size, p_partkey, (['OrderCache', 'UserFactory', 'AppConfig', 'SecurityGate', 'AuditInterceptor', 'PlainThing', 'ItemRegistry', 'DateUtils'])[p_size % 8 + 1] AS name,
+  (['STATELESS', 'STATEFUL', 'ENTITY', 'MESSAGE_DRIVEN', 'SINGLETON', NULL])[p_partkey % 6 + 1] AS kind, p_partkey % 9 = 0 AS is_interface, p_partkey % 4 = 0 AS private_constructor FROM part""",
+    "fields": """
+SELECT 'p' || l_partkey AS id, (['itemCache', 'log', 'count', 'MAX_SIZE', 'dataSource', 'SERVER_URL', 'state'])[(l_orderkey + l_linenumber) % 7 + 1] AS name,
+  (['HashMap', 'Logger', 'int', 'ArrayList', 'DataSource', 'EntityManager', 'Event', 'LruCache', 'ItemRegistry'])[l_suppkey % 9 + 1] AS type, l_quantity < 20 AS is_static, l_discount > 0.05 AS is_final,
+  l_linenumber % 5 = 0 AS inject, l_linenumber % 5 IN (1, 2) AS resource, l_linenumber % 5 = 2 AS ejb FROM lineitem""",
+    "methods": """
+SELECT 'p' || l_partkey AS id, (['createOrder', 'getInstance', 'lookupHome', 'openConnection', 'saveAll', 'ejbCreate', 'BuildView', 'closeResultSet', 'run', 'loginUser', 'aroundCall'])[l_orderkey % 11 + 1] AS name,
+  (['void', 'String', 'OrderCache'])[l_linenumber % 3 + 1] AS return_type, l_tax > 0.04 AS is_static, l_returnflag <> 'R' AS is_public, l_suppkey % 8 AS mark FROM lineitem""",
     "names": """
 SELECT DISTINCT * FROM (SELECT upper(replace(p_type, ' ', '_')) || '_' || CASE WHEN p_partkey % 2 = 0 THEN 'FOUND' ELSE 'DETECTED' END AS name FROM part
 UNION ALL SELECT lower(replace(p_brand, '#', '_')) || '_config' FROM part)""",

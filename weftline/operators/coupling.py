@@ -40,37 +40,82 @@ def closure(edges: DataFrame, method: str = "frontier") -> DataFrame:
     |closure| * out-degree rows, over as many rounds as the longest shortest path.
     `doubling` joins the relation with itself: log2 of those rounds, for long thin graphs
     where a round's fixed cost dominates. Each round is a written table; its one count ends
-    the loop. Both end on cycles, because known pairs are taken out.
+    the loop. Both end on cycles, because known pairs are taken out. Who needs numbers
+    instead of pairs takes `reach_counts`.
     """
     if method not in ("frontier", "doubling"):
         raise ValueError(f"unknown method {method!r}")
-    spark = edges.sparkSession
-    rounds = Rounds(spark, "closure")
+    rounds = Rounds(edges.sparkSession, "closure")
     step = rounds.keep(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).filter("s is not null and t is not null and s != t").distinct(), "edges")
     known = new = step
     k = 0
     while True:
         k += 1
-        if method == "frontier":
-            longer = new.toDF("s", "m").join(step.toDF("m", "t"), "m")
-        else:
-            longer = known.toDF("s", "m").join(known.toDF("m", "t"), "m")
-        found = longer.filter("s != t").select("s", "t").distinct().join(known, ["s", "t"], "left_anti")
-        new = rounds.keep(found, f"new-{k}")
-        if not new.take(1):
+        before = known if method == "doubling" else new
+        after = known if method == "doubling" else step
+        longer = before.toDF("s", "m").join(after.toDF("m", "t"), "m")
+        new = rounds.keep(longer.filter("s != t").select("s", "t").distinct().join(known, ["s", "t"], "left_anti"), f"new-{k}")
+        if new.isEmpty():
             break
         if method == "doubling":
             known = rounds.keep(known.union(new), f"all-{k}")
+            rounds.forget(f"all-{k - 1}")
         else:
             known = known.union(new)
     return known.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"))
 
 
-def transitive_coupling(nodes: DataFrame, edges: DataFrame, edge_types: Iterable[str] | None = COUPLING_TYPES, method: str = "frontier") -> DataFrame:
-    """id, tca, tce: nodes that reach each node, and that it reaches; itself never counts."""
+BITMAP = 1 << 15
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """id, tca, tce of every node with an edge: how many reach it and how many it reaches; itself never counts.
+
+    What a node reaches is a bitmap for each BITMAP nodes that follow each other by id. A
+    round gives every node the union of its neighbours' bitmaps, an aggregation that starts
+    before its shuffle, in both directions at once; V^2 pairs are V^2 bits. A round's
+    number of bits ends the loop, and all rounds before the last are deleted.
+    """
+    rounds = Rounds(edges.sparkSession, "reach")
+    e = rounds.keep(edges.select("source_id", "target_id").filter("source_id is not null and target_id is not null and source_id != target_id").distinct(), "pairs")
+    ends = rounds.keep(e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct(), "ends")
+    ids = ends.repartitionByRange(ends.count() // BITMAP + 1, "id").sortWithinPartitions("id")
+    ids = rounds.keep(ids.select("id", (F.monotonically_increasing_id() + 1).alias("no")), "ids")  # numbers from 1 on
+    far = e.join(ids.toDF("source_id", "s"), "source_id").join(ids.toDF("target_id", "t"), "target_id").select("s", "t")
+    step = rounds.keep(far.select(F.lit(0).alias("way"), "s", "t").union(far.select(F.lit(1), "t", "s")), "step")
+    bits = step.groupBy("way", "s", F.bitmap_bucket_number("t").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("t")).alias("bits"))
+    bits = rounds.keep(bits, "bits-0")
+    k, total = 0, None
+    while total != (now := bits.agg(F.sum(F.bitmap_count("bits"))).first()[0]):
+        k, total = k + 1, now
+        nexts = step.join(bits.select("way", F.col("s").alias("t"), "bucket", "bits"), ["way", "t"]).select("way", "s", "bucket", "bits")
+        bits = rounds.keep(nexts.union(bits).groupBy("way", "s", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), f"bits-{k}")
+        rounds.forget(f"bits-{k - 1}")
+    at = F.bitmap_bit_position("s")
+    own = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    own = F.when(F.bitmap_bucket_number("s") == F.col("bucket"), own.cast("int")).otherwise(0)
+    n = bits.groupBy("s").agg(*(F.coalesce(F.sum(F.when(F.col("way") == way, F.bitmap_count("bits") - own)), F.lit(0)).alias(name) for way, name in ((1, "tca"), (0, "tce"))))
+    n = rounds.keep(ids.join(n, F.col("no") == F.col("s")).select("id", "tca", "tce"), "counts")
+    for name in ("pairs", "ends", "ids", "step", f"bits-{k}"):
+        rounds.forget(name)
+    return n
+
+
+def transitive_coupling(nodes: DataFrame, edges: DataFrame, edge_types: Iterable[str] | None = COUPLING_TYPES, method: str = "bitmaps") -> DataFrame:
+    """id, tca, tce: nodes that reach each node, and that it reaches; itself never counts.
+
+    Counted on bitmaps, or on the pairs of a closure's `method`. Edges from or to a node
+    that is not among `nodes` are paths too, but such nodes are not counted.
+    """
     e = edges.filter(F.col("edge_type").isin(list(edge_types))) if edge_types else edges
-    reach = closure(e, method).withColumn("edge_type", F.lit("path"))
-    return degrees(nodes, reach, None).select("id", F.col("ca").alias("tca"), F.col("ce").alias("tce"))
+    if method != "bitmaps":
+        reach = closure(e, method).withColumn("edge_type", F.lit("path"))
+        return degrees(nodes, reach, None).select("id", F.col("ca").alias("tca"), F.col("ce").alias("tce"))
+    ends = e.select(F.explode(F.array("source_id", "target_id")).alias("id")).filter("id is not null")
+    if not ends.join(nodes.select("id"), "id", "left_anti").isEmpty():  # bits of unknown nodes can't be told from others
+        return transitive_coupling(nodes, edges, edge_types, "frontier")
+    n = reach_counts(e)
+    return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("tca", F.lit(0)).alias("tca"), F.coalesce("tce", F.lit(0)).alias("tce"))
 
 
 def coupling(nodes: DataFrame, edges: DataFrame, edge_types: Iterable[str] | None = COUPLING_TYPES) -> DataFrame:
@@ -116,25 +161,27 @@ def ancestors(packages: DataFrame, package: str = "package") -> DataFrame:
     return packages.filter(F.coalesce(F.col(package), F.lit("")) != "").select(F.explode(levels).alias("package")).distinct()
 
 
-def inheritance(nodes: DataFrame, parents: DataFrame, deep: int = 3, most: int = 1000) -> DataFrame:
+def inheritance(nodes: DataFrame, parents: DataFrame, deep: int = 3, most: int | None = None) -> DataFrame:
     """id, depth (hops to the topmost ancestor), root and is_deep (more than `deep` hops); parents: (id, parent), one row an id.
 
     Pointer doubling: each round joins everybody's ancestor at distance 2^k with that
-    ancestor's own, so rounds grow with the logarithm of the depth. Nodes on or above a
-    cycle have no root; they stop after `most` hops with a null root.
+    ancestor's own, so rounds grow with the logarithm of the depth, whatever it is. A chain
+    without a cycle has fewer hops than there are nodes; nodes on or above a cycle reach
+    that number, have no root and count as that deep. `most` gives another number.
     """
     rounds = Rounds(nodes.sparkSession, "inheritance")
     at = nodes.select("id").join(parents.select("id", "parent"), "id", "left")
     at = rounds.keep(at.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("hops")), "0")
-    k, reach = 0, 1
+    most = most or at.count() + 1  # a parent outside the nodes is one more
+    k, reach, total = 0, 1, at.agg(F.sum("hops")).first()[0]
     while reach < most:
         k, reach = k + 1, reach * 2
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
-        new = at.join(above, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
-        new = rounds.keep(new, str(k))
-        moved = new.agg(F.sum("hops")).first()[0] != at.agg(F.sum("hops")).first()[0]
-        at = new
-        if not moved:
+        new = at.join(above, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), F.least(F.lit(most), F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
+        at = rounds.keep(new, str(k))
+        rounds.forget(str(k - 1))
+        before, total = total, at.agg(F.sum("hops")).first()[0]
+        if total == before:
             break
     root = F.when(F.col("hops") < most, F.col("up"))
     return at.select("id", F.col("hops").alias("depth"), root.alias("root"), (F.col("hops") > deep).alias("is_deep"))

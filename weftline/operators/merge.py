@@ -72,6 +72,18 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Da
     return nodes.join(gone, "id", "left_anti"), e.select(edges.columns)
 
 
+def delete_edges(edges: DataFrame, gone: DataFrame, keys: Sequence[str] = ("source_id", "target_id", "edge_type")) -> DataFrame:
+    """The edges whose keys are not among `gone`."""
+    return edges.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def delete_edges_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that touch none of the nodes."""
+    ids = nodes.select("id").distinct()
+    out = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
+    return out.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+
+
 def patch_map(old: Column, patch: Column) -> Column:
     """A JSON merge patch of flat maps: null values remove their keys, others replace."""
     old, patch = F.coalesce(old, F.create_map().cast("map<string,string>")), F.coalesce(patch, F.create_map().cast("map<string,string>"))

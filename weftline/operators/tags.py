@@ -36,22 +36,35 @@ def multi_producers(producers: DataFrame) -> DataFrame:
     return g.filter(F.size("rules") > 1).select("tag", F.size("rules").cast("long").alias("producers"), F.array_join("rules", ",").alias("rules"))
 
 
-# Parts that don't tell names apart (longest alternative first), and words for the same thing.
-NOISE = ("implementation", "configuration", "impl", "config", "detected", "inspector", "found")
-PAIRED = (("FOUND", "DETECTED"), ("PRESENT", "DETECTED"), ("ANALYZED", "PROCESSED"), ("HAS", "IS"))
+# What names are compared without, taken out in this order.
+NOISE = ("[._-]", "detected?", "found", "usage", "used", "pattern", "template", "config", "configuration", "impl", "implementation", "mgmt", "management", "svc", "service", "s$", r"\d+")
+# Words for the same thing.
+PAIRED = (
+    ("DETECTED", "FOUND"),
+    ("DETECTOR", "FINDER"),
+    ("USAGE", "USED"),
+    ("PATTERN", "TEMPLATE"),
+    ("CONFIG", "CONFIGURATION"),
+    ("IMPL", "IMPLEMENTATION"),
+    ("MGMT", "MANAGEMENT"),
+    ("SVC", "SERVICE"),
+)
+# Contexts and the words that tell them.
+CONTEXTS = {
+    "ejb_context": ("EJB", "ENTERPRISE_BEAN", "SESSION_BEAN", "ENTITY_BEAN", "MESSAGE_DRIVEN"),
+    "web_context": ("SERVLET", "JSP", "WEB", "HTTP", "WEBAPP"),
+    "data_context": ("DATABASE", "DB", "SQL", "JDBC", "JPA", "HIBERNATE"),
+    "config_context": ("CONFIG", "CONFIGURATION", "PROPERTIES", "SETTINGS", "PARAMS"),
+    "transaction_context": ("TRANSACTION", "TX", "TRANSACTIONAL", "COMMIT", "ROLLBACK"),
+}
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, without noise words and separators."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "|".join(NOISE), ""), "[^a-z0-9]", "")
-
-
-def canonical_name(name: Column) -> Column:
-    """One of each pair of words stands for both."""
-    out = F.upper(name)
-    for a, b in PAIRED:
-        out = F.regexp_replace(out, rf"(^|_){a}(?=_|$)", f"$1{b}")
-    return out
+    """Lower case, without separators, noise words, plural and numbers."""
+    out = F.lower(name)
+    for part in NOISE:
+        out = F.regexp_replace(out, part, "")
+    return F.trim(out)
 
 
 def edit_limit(a: Column, b: Column) -> Column:
@@ -76,10 +89,36 @@ def similar_pairs(names: DataFrame, name: str = "name", *within: str) -> DataFra
     return j.select(*within, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def pattern_pairs(names: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs a < b of different names with one canonical form: an equi join."""
-    d = names.select(F.col(name).alias("name")).distinct().withColumn("form", canonical_name(F.col("name")))
-    return d.select(F.col("name").alias("a"), "form").join(d.select(F.col("name").alias("b"), "form"), "form").filter("a < b").select("a", "b")
+def pattern_pairs(names: DataFrame, name: str = "name", any_case: bool = True) -> DataFrame:
+    """Pairs a < b of names of which one holds a word of PAIRED and the other its partner, the rest being the same in normal form.
+
+    An equi join on the pair of words and the rest. Words are found in any case, or only
+    in upper case.
+    """
+    d = names.select(F.col(name).alias("name")).distinct()
+    text = F.upper("name") if any_case else F.col("name")
+    held = [F.struct(F.lit(i).alias("i"), text.contains(x).alias("x"), text.contains(y).alias("y"), normal_name(F.replace(F.replace(text, F.lit(x), F.lit("")), F.lit(y), F.lit(""))).alias("rest")) for i, (x, y) in enumerate(PAIRED)]
+    d = d.select("name", F.explode(F.array(*held)).alias("h")).select("name", "h.*").filter("x or y")
+    a, b = d.toDF("a", "i", "ax", "ay", "rest"), d.toDF("b", "i", "bx", "by", "rest")
+    return a.join(b, ["i", "rest"]).filter("a < b and (ax and by or ay and bx)").select("a", "b").distinct()
+
+
+def context_pairs(names: DataFrame, name: str = "name") -> DataFrame:
+    """(context, a, b, distance): similar names of one context, compared without its words (longer words first)."""
+    d = names.select(F.col(name).alias("name")).distinct()
+    found = []
+    for context, words in CONTEXTS.items():
+        here, rest = F.lit(False), F.col("name")
+        for w in sorted(words, key=lambda w: (-len(w), w)):
+            here, rest = here | F.upper("name").contains(w), F.replace(rest, F.lit(w), F.lit(""))
+        found.append(F.when(here, F.struct(F.lit(context).alias("context"), rest.alias("rest"))))
+    d = d.select("name", F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.context", "name", "f.rest")
+    # names with one rest are compared once
+    pairs = similar_pairs(d, "rest", "context")
+    x, y = d.toDF("context", "x", "a"), d.toDF("context", "y", "b")
+    j = pairs.join(x, ["context", "a"]).join(y, ["context", "b"]).select("context", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    same = d.toDF("context", "a", "rest").join(d.toDF("context", "b", "rest"), ["context", "rest"]).filter("a < b").select("context", "a", "b", F.lit(0).alias("distance"))
+    return j.union(same).distinct()
 
 
 def normal_groups(names: DataFrame, name: str = "name") -> DataFrame:

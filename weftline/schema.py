@@ -9,3 +9,7 @@ RUNS = "plan string, phase string, task string, block string, status string, sta
 COUPLING_TYPES = ("extends", "implements", "uses")
 DEFAULT_PACKAGE = "(default)"
 EDGE_KEY = ("source_id", "target_id", "edge_type")
+
+# JSON keeps microseconds only by a format that says so
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+JSON_TIME_READ = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.runlog import calls_between, month_of
-from weftline.schema import CALLS
+from weftline.schema import CALLS, JSON_TIME, JSON_TIME_READ
 
 
 def write_calls(calls: DataFrame, path: str, mode: str = "append") -> None:
     """One folder a calendar month; rows of a month are gathered so that a write makes few files, and a hot month can still be split."""
-    calls.withColumn("month", month_of()).hint("rebalance", "month").write.mode(mode).partitionBy("month").json(path)
+    calls.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("month", month_of()).hint("rebalance", "month").write.mode(mode).partitionBy("month").option("timestampFormat", JSON_TIME).json(path)
 
 
 def read_calls(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The log, or the calls of a closed time range, of which only the months' folders are read."""
-    calls = spark.read.schema(CALLS + ", month string").json(path)
+    calls = spark.read.schema(CALLS + ", month string").option("timestampFormat", JSON_TIME_READ).json(path)
     return (calls_between(calls, start, end) if start and end else calls).drop("month")
 
 

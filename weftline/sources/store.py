@@ -68,3 +68,10 @@ def read_files(spark: SparkSession, path: str, suffixes: Iterable[str] = ()) ->
     f = f.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("text"))
     wanted = [s.lower() for s in suffixes]
     return f.filter(extension(F.col("name")).isin(wanted)) if wanted else f
+
+
+def delete_graph(spark: SparkSession, path: str) -> None:
+    """Deletes all nodes and edges of a stored graph; the schemas stay."""
+    for part in ("nodes", "edges"):
+        schema = spark.read.parquet(f"{path}/{part}").schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{part}")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.runlog import month_of
-from weftline.schema import CALLS
+from weftline.schema import CALLS, JSON_TIME, JSON_TIME_READ
 
 
 def flush_calls(spark: SparkSession, source: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends new JSON lines to monthly folders: every `every` ("30 seconds"), or what is there now and then stops. Exactly once, by the checkpoint."""
-    calls = spark.readStream.schema(CALLS).json(source).withColumn("month", month_of())
-    w = calls.writeStream.format("json").partitionBy("month").option("path", target).option("checkpointLocation", checkpoint).outputMode("append")
+    calls = spark.readStream.schema(CALLS).option("timestampFormat", JSON_TIME_READ).json(source).withColumn("month", month_of())
+    w = calls.writeStream.format("json").option("timestampFormat", JSON_TIME).partitionBy("month").option("path", target).option("checkpointLocation", checkpoint).outputMode("append")
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
