@@ -20,7 +20,8 @@ every document.
   From left to right the match that reaches furthest becomes the next factor (start,
   length, reference document and word), up to its end; words under no match are literals.
   Every match is `window` words or longer, so the factors cover the duplicate spans, and
-  the text is rebuilt from literals and references.
+  the text is rebuilt from literals and references. Where only counts and digests are asked
+  for (`texts` false), places in the reference are not carried: touching matches are one factor.
 
 Blocks and windows are equal when two independent 64-bit hashes are. Repeated
 passages meet as rows of one anchor and are never paired. The texts' shuffle is
@@ -172,7 +173,9 @@ def factors(row: np.ndarray, at: np.ndarray, n: np.ndarray, ref: np.ndarray, ref
 def _cut(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start, end, ref, ref_start = factors(*_list(b, "matched"), window).T
+            row, at, n, *refs = _list(b, "matched")
+            ref, ref_at = refs or (np.zeros(len(at), np.int64), at)
+            row, start, end, ref, ref_start = factors(row, at, n, ref, ref_at, window).T
             for a, e, data, off in pieces(b.column("text")):
                 w = Words(data, off)
                 mine = slice(*np.searchsorted(row, [a, e]))
@@ -220,26 +223,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # rows with one id stay apart: a key from the row itself; equal rows have equal results
     src = src.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    key, join = ["anchor", "block", "block2", "n_windows"], ["block", "block2"]
+    key = ["anchor", "block", "block2", "n_windows"]
     found = src.filter("doc_id is not null").mapInArrow(_blocks(window, gram), BLOCK)
     # never null; said here, so that each use below has these filters and equal uses share one exchange
     found = found.filter(" and ".join(f"{c} is not null" for c in key))
     # one row a block: a passage that a third of all texts share is pre-aggregated to a row a task
-    known = found.groupBy(*key).agg(F.min(F.struct("doc_id", "first")).alias("ref"), F.max("doc_id").alias("last"))
+    place = (lambda at: F.struct("doc_id", at)) if texts else (lambda at: F.col("doc_id"))
+    ref, ref_at = (F.col("ref.doc_id"), [F.col("ref").getField("first").alias("ref_at")]) if texts else (F.col("ref"), [])
+    known = found.groupBy(*key).agg(F.min(place("first")).alias("ref"), F.max("doc_id").alias("last"))
     # anchors whose blocks begin in different documents: a smaller document may hold a block in part
-    # (`last` and `ref` are read here only so that both uses of `known` read the same columns and share one exchange)
+    # (`last` is read here only so that both uses of `known` read the same columns and share one exchange)
     contested = known.groupBy("anchor").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"), F.max("last").alias("end"))
-    contested = contested.filter("lo.doc_id < hi.doc_id and end >= lo.doc_id").select("anchor", F.lit(True).alias("contested"))
-    known = known.join(contested, "anchor", "left").filter("ref.doc_id < last or contested").select(*join, F.col("ref.doc_id").alias("ref"), F.col("ref.first").alias("ref_at"), F.coalesce("contested", F.lit(False)).alias("contested"))
-    found = found.select("doc_id", "row_key", "first", "n_windows", *join).join(known, join).select("doc_id", "row_key", "first", "n_windows", "ref", "ref_at", (F.col("doc_id") > F.col("ref")).alias("whole"), "contested")
-    match, span = F.struct(F.col("first").alias("at"), F.col("n_windows").alias("n"), "ref", "ref_at"), F.struct(F.col("first").alias("at"), F.col("n_windows").alias("n"))
+    lo, hi = ("lo.doc_id", "hi.doc_id") if texts else ("lo", "hi")
+    contested = contested.filter(f"{lo} < {hi} and end >= {lo}").select("anchor", F.lit(True).alias("contested"))
+    known = known.join(contested, "anchor", "left").filter((ref < F.col("last")) | F.col("contested"))
+    known = known.select(*key, ref.alias("ref"), *ref_at, F.coalesce("contested", F.lit(False)).alias("contested"))
+    more = ["ref", "ref_at"] if texts else []
+    found = found.join(known, key).select("doc_id", "row_key", "first", "n_windows", *more, (F.col("doc_id") > F.col("ref")).alias("whole"), "contested")
+    span = F.struct(F.col("first").alias("at"), F.col("n_windows").alias("n"))
+    match = F.struct(F.col("first").alias("at"), F.col("n_windows").alias("n"), *more)
     spans = found.filter("whole or contested").groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("whole"), match)).alias("whole"), F.collect_set(F.when(~F.col("whole"), span)).alias("open"))
     # the text comes along only where windows are to be hashed; both joins of texts use one exchange
     opened = src.join(spans.select("doc_id", "row_key", "open"), ["doc_id", "row_key"], "left")
     opened = opened.select("doc_id", "row_key", F.when(F.size("open") > 0, F.col("text")).alias("text"), "open")
     windows = opened.mapInArrow(_windows(window), WINDOW)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last")).filter("ref.doc_id < last").select("w1", "w2", F.col("ref.doc_id").alias("ref"), F.col("ref.at").alias("ref_at"))
-    late = windows.join(first, ["w1", "w2"]).filter("doc_id > ref").select("doc_id", "row_key", F.struct("at", F.lit(1).alias("n"), "ref", "ref_at").alias("span"))
+    first = windows.groupBy("w1", "w2").agg(F.min(place("at")).alias("ref"), F.max("doc_id").alias("last")).filter(ref < F.col("last"))
+    first = first.select("w1", "w2", ref.alias("ref"), *([F.col("ref.at").alias("ref_at")] if texts else []))
+    late = windows.join(first, ["w1", "w2"]).filter("doc_id > ref").select("doc_id", "row_key", F.struct("at", F.lit(1).alias("n"), *more).alias("span"))
     matched = spans.select("doc_id", "row_key", F.explode("whole").alias("span")).unionByName(late)
     matched = matched.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("matched"))
     # a left join by value keeps rows whose id is null
