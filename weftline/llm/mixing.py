@@ -1,7 +1,8 @@
 """Mixing sources to target weights, on DataFrame operations only.
 
-Every document gets a hash-random key. Each source's keys are cut into RANGES equal
-ranges (keys are uniform, so a source that holds a third of all rows is spread as
+Every document gets a hash-random key from its id and its text, so rows without an id and
+rows that share one are spread too. Each source's keys are cut into equal ranges, so many
+that a range has RANGE_ROWS rows at most on average (keys are uniform, so a source that holds a third of all rows is spread as
 evenly as the others). Prefix sums of sizes are taken over the ranges' totals and then
 inside each range, so no task holds a source. Where the prefix passes the source's
 budget the mix ends, exactly; a budget above the source's size starts another epoch.
@@ -15,9 +16,11 @@ that order. One row per source is a mix's configuration, and the only unpartitio
 windows are over those rows.
 
 Sizes are numbers of `[^\\x20\\x09-\\x0D]+` words. Null and empty texts: size 0, never
-taken. Ties in the key are ordered by id, then by the text's hash; rows that are equal
-in both are interchangeable, each has its own place. An empty table gives no rows.
-Columns of the input stay as they are (names with the prefix `mix_` are reserved).
+taken. Ties in the key are ordered by id; rows that are equal in id and text are
+interchangeable, each has its own place. An empty table gives no rows. Columns of the
+input stay as they are; `mix_sources` replaces those that have the names of its own,
+`mix_documents` keeps all. The text is read only for its words and hash: where the
+caller doesn't ask for it, it is not shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES_LOG2 = 12
+RANGE_ROWS, LEAST_LOG2 = 20_000, 12
 KEY_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -35,9 +38,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_key(id_col: Column, seed: str) -> Column:
-    """60 bits of an MD5, the same on every run and in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+def mix_key(id_col: Column, text: Column, seed: str) -> Column:
+    """60 bits of an MD5 of id and text, the same on every run and in any engine."""
+    none = F.lit("")
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_col.cast("string"), none), F.lit(":"), F.md5(F.coalesce(text.cast("string"), none)), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+
+
+def ranges_log2(docs: DataFrame) -> int:
+    """Ranges of a source, as a power of two, from the number of all rows (which files tell without reading texts)."""
+    return min(KEY_BITS, max(LEAST_LOG2, (docs.count() // RANGE_ROWS).bit_length() + 2))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float, most: float) -> DataFrame:
@@ -63,9 +72,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: f
     """The input's columns with mix_size, mix_source_size, mix_target and mix_taken (words the mix takes, repeats counted)."""
     if not weights or min(weights) <= 0 or budget < 0 or most <= 0:
         raise ValueError("weights and most must be above 0, budget not below 0")
-    source = F.col(source_col).cast("string")
-    d = docs.select("*", n_words(F.col(text_col)).alias("mix_size"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("mix_s"), mix_key(F.col(id_col), seed).alias("mix_key"))
-    d = d.withColumn("mix_range", F.shiftright("mix_key", KEY_BITS - RANGES_LOG2))
+    docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("mix_")))
+    source, bits = F.col(source_col).cast("string"), ranges_log2(docs)
+    d = docs.select("*", n_words(F.col(text_col)).alias("mix_size"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("mix_s"), mix_key(F.col(id_col), F.col(text_col), seed).alias("mix_key"))
+    d = d.withColumn("mix_range", F.shiftright("mix_key", KEY_BITS - bits))
     ranges = d.groupBy("mix_s", "mix_range").agg(F.sum("mix_size").alias("mix_sum"))
     sources = ranges.groupBy("mix_s").agg(F.sum("mix_sum").alias("mix_size"))
     sources = sources.withColumn("mix_source", F.when(F.col("mix_s") != "", F.col("mix_s")))
@@ -73,7 +83,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: f
     earlier = Window.partitionBy("mix_s").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranges.select("mix_s", "mix_range", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0)).alias("mix_base")).join(targets, "mix_s")
     d = d.join(bases, ["mix_s", "mix_range"])
-    inside = Window.partitionBy("mix_s", "mix_range").orderBy("mix_key", id_col, F.xxhash64(F.col(text_col))).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("mix_s", "mix_range").orderBy("mix_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("mix_base") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
     goal = F.floor(F.round("mix_target", 6)).cast("long")
     epochs = F.when(F.col("mix_source_size") > 0, F.floor(goal / F.col("mix_source_size"))).otherwise(0).cast("long")
@@ -88,18 +98,19 @@ def mix_documents(docs: DataFrame, text_col: str = "text", **mix) -> DataFrame:
 
     The document at which a source's budget ends is cut after the last word that fits.
     """
-    d = mix_sources(docs, text_col=text_col, **mix).filter("mix_taken > 0")
+    names = {c: f"input_{i}" for i, c in enumerate(docs.columns) if c.lower().startswith("mix_")}
+    d = mix_sources(docs.withColumnsRenamed(names), text_col=text_col, **mix).filter("mix_taken > 0")
     d = d.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))))
     left = (F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0)), F.lit(1), left), "")
     text = F.when(left < F.col("mix_size"), cut).otherwise(F.col(text_col)).alias(text_col)
-    return d.select(*(text if c == text_col else F.col(c) for c in docs.columns))
+    return d.select(*(text if c == text_col else F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w, 2::DOUBLE * source_size AS cap
