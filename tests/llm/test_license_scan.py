@@ -1,6 +1,7 @@
+import random
 import re
 
-from weftline.llm.license_scan import TEMPLATES, license_scan
+from weftline.llm.license_scan import TEMPLATES, TEXTS, all_templates, license_scan, marks
 
 
 def folded(t):
@@ -9,7 +10,7 @@ def folded(t):
 
 def plain(rows, percent):
     out = {}
-    known = [(i, n, {*zip(folded(t)[:-1], folded(t)[1:], strict=True)}) for i, (n, t) in enumerate(TEMPLATES)]
+    known = [(i, n, {*zip(folded(t)[:-1], folded(t)[1:], strict=True)}) for i, (n, t) in enumerate(all_templates())]
     for doc, text in rows:
         if text is None:
             continue
@@ -48,3 +49,37 @@ def test_edges(spark):
     extra = spark.createDataFrame([(*r, "l", 0) for r in rows], "doc_id long, text string, license string, no int")
     assert got(extra) == plain(rows, 80)
     assert got(df.limit(0)) == {}
+
+
+def test_whole_texts_and_their_parts(spark):
+    rows = []
+    for i, (_, parts) in enumerate(TEXTS):
+        text = "Copyright (c) 2020 Some Holder\n\n" + "\n\n".join(parts)
+        wrapped = re.sub(r"((?:\S+ ){9}\S+) ", r"\1\n * ", text)
+        rows += [(3 * i, text), (3 * i + 1, wrapped.upper()), (3 * i + 2, "own words " * 400 + "\n\n" + parts[1] + "\n\n" + "and more " * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = got(df)
+    assert found == plain(rows, 80)
+    for i, (name, parts) in enumerate(TEXTS):
+        assert found[3 * i, name][0] in ("text", "line") and (3 * i + 1, name) in found
+        assert any(d == 3 * i + 2 for d, _ in found) or len(parts[1].split()) < 8
+
+
+def test_no_match_is_without_a_mark():
+    """Every choice of the bigrams that a match needs holds a mark, also the choice with the fewest."""
+    rng = random.Random(4)
+    for percent in (50, 80, 95):
+        words = set(marks(all_templates(), percent))
+        for _, text in all_templates():
+            w = folded(text)
+            pairs = sorted({*zip(w[:-1], w[1:], strict=True)})
+            least = -(-percent * len(pairs) // (200 - percent))
+            plainest = sorted(pairs, key=lambda p: bool(words & set(p)))[:least]
+            assert any(words & set(p) for p in plainest)
+            assert any(words & set(p) for p in rng.sample(pairs, least))
+
+
+def test_long_text(spark):
+    rows = [(1, "line of words without a licence\n" * 100_000 + TEMPLATES[0][1]), (2, "software " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {k: v[:2] for k, v in got(df).items()} == {(1, "MIT"): ("line", 100_000)}
