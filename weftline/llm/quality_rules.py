@@ -300,7 +300,7 @@ ORACLE = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), runs AS (
-  SELECT r, k, i, list_slice(w, i, i + k - 1) AS g
+  SELECT r, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
   FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (VALUES (2), (3), (4), (8)) AS s(k) WHERE len(w) >= k)
 ), uses AS (
   SELECT r, k, g, count(*) AS n, list(i) AS places FROM runs GROUP BY r, k, g
