@@ -60,7 +60,7 @@ from weftline.llm.shared import Scratch, bound_batches, lean
 from weftline.llm.textkit import Words, mix, pieces, shingle_sets
 
 LAYERS = 24
-HOT, HOT_ROWS, SAMPLE = 100_000, 32, 64
+HOT, HOT_ROWS, SAMPLE, SALTS = 100_000, 32, 64, 1024
 SKETCH = 1024
 VERIFY_ROWS = 256
 
@@ -297,18 +297,18 @@ def _shared(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, entry, n) of the entries with more than one id, n of them.
 
     A window counts an entry's ids in one task, so the entries that a large part of all
-    documents has are counted apart, by aggregation before the shuffle: those with at least
-    1 / HOT of a sample's rows, HOT at most, which is the bound of what is broadcast. An
-    entry that the sample misses is counted by the window, only in a larger task.
+    documents has are dealt over SALTS windows. They are those with at least 1 / HOT of a
+    sample's rows, HOT at most, which is the bound of what is broadcast. Their n is what the
+    sample says, which serves to choose leaders. An entry that the sample misses is counted
+    by one window, only in a larger task.
     """
     sample = entries.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy("entry").agg(F.count("*").alias("n"))
     all_rows = sample.agg(F.sum("n")).first()[0] or 0
-    hot = scratch.write(sample.filter(F.col("n") >= max(HOT_ROWS, all_rows // HOT)).select("entry"), "hot")
-    many = entries.join(F.broadcast(hot), "entry").groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1")
-    many = entries.join(F.broadcast(many), "entry").select("doc_id", "entry", "n")
-    few = entries.join(F.broadcast(hot), "entry", "left_anti")
-    few = few.withColumn("n", F.count("*").over(Window.partitionBy("entry"))).filter("n > 1")
-    return few.unionByName(many)
+    hot = scratch.write(sample.filter(F.col("n") >= max(HOT_ROWS, all_rows // HOT)).select("entry", (F.col("n") * SAMPLE).alias("hot_n")), "hot")
+    e = entries.join(F.broadcast(hot), "entry", "left")
+    e = e.withColumn("salt", F.when(F.col("hot_n").isNotNull(), F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0))
+    e = e.withColumn("n", F.coalesce("hot_n", F.count("*").over(Window.partitionBy("entry", "salt"))))
+    return e.filter("n > 1").select("doc_id", "entry", "n")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
