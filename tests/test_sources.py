@@ -100,8 +100,21 @@ def test_registered_exports_of_the_whole_graph(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     n, e = t.nodes.count(), t.edges.count()
-    for name in ("sink_graphml_all", "sink_dot_all"):
+    for name in ("sink_graphml", "sink_dot"):
         assert {r["part"]: r["count"] for r in QUERIES[name](spark, sf_dir).groupBy("part").count().collect()} == {1: n, 2: e}
-    csv = QUERIES["sink_csv_pivot_all"](spark, sf_dir)
+    csv = QUERIES["sink_csv_pivot"](spark, sf_dir)
     by_type = lambda df, c: {r[0]: r["count"] for r in df.groupBy(c).count().collect()}
     assert by_type(csv, "type") == by_type(t.nodes, "node_type") and len(by_type(csv, "type")) == 5
+
+
+def test_class_and_package_records(spark, tmp_path):
+    from weftline.sources.store import read_record_csv, write_record_csv
+
+    rows = [("a", 'p "q", r', "class"), ("b", 'p "q", r', "interface"), ("c\nd", None, "enum"), ("a", "z", None), ("a", "z", None)]
+    classes = spark.createDataFrame(rows, "id string, package string, kind string").withColumn("name", F.lit("extra"))
+    write_record_csv(classes, str(tmp_path / "r"))
+    got = [tuple(r) for r in read_record_csv(spark, str(tmp_path / "r")).collect()]
+    want = [("class", i, p, k, None) for i, p, k in rows] + [("package", 'p "q", r', 'p "q", r', None, 2), ("package", None, None, None, 1), ("package", "z", "z", None, 2)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    write_record_csv(classes.limit(0), str(tmp_path / "none"))
+    assert read_record_csv(spark, str(tmp_path / "none")).count() == 0

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.catalog import query
-from weftline.graph import Graph
 from weftline.operators import merge as mg
 from weftline.operators import metrics as mt
 from weftline.operators import tags as tg
@@ -87,20 +86,12 @@ def _(t):
     return mt.pivoted(t.nodes, "part", ["cheap", "large", "rich"], ["retailprice", "size"])
 
 
-@query("sink_csv_pivot", "SELECT id, display_label AS label, metrics['acctbal'] AS metric_acctbal FROM nodes WHERE node_type = 'supplier'")
-def _(t):
-    at = Rounds(t.spark, "csv").path
-    store.write_pivoted_csv(t.nodes, at, ["supplier"])
-    back = t.spark.read.option("header", True).option("escape", '"').csv(f"{at}/supplier")
-    return back.select("id", "label", F.col("metric_acctbal").cast("double").alias("metric_acctbal"))
-
-
 _TAGS, _METRICS = ("building", "cheap", "large", "negative", "rich"), ("acctbal", "retailprice", "size")
 _TAG_SQL = ", ".join(f"CASE WHEN bool_or(list_contains(tags, '{x}')) OVER (PARTITION BY node_type) THEN coalesce(list_contains(tags, '{x}'), false) END AS tag_{x}" for x in _TAGS)
 _METRIC_SQL = ", ".join(f"metrics['{x}'] AS metric_{x}" for x in _METRICS)
 
 
-@query("sink_csv_pivot_all", f"SELECT id, node_type AS type, display_label AS label, {_TAG_SQL}, {_METRIC_SQL} FROM nodes")
+@query("sink_csv_pivot", f"SELECT id, node_type AS type, display_label AS label, {_TAG_SQL}, {_METRIC_SQL} FROM nodes")
 def _(t):
     """The CSV folders of all node types, read back; a column that a type's header lacks is null."""
     at = Rounds(t.spark, "csv").path
@@ -127,36 +118,28 @@ def _(t):
     return t.spark.read.schema("tag string, nodes long").json(f"{at}/tags")
 
 
-@query("sink_project_json", "SELECT edge_type, count(*) AS n FROM edges WHERE source_id IN (SELECT id FROM nodes WHERE node_type = 'supplier') AND target_id IN (SELECT id FROM nodes WHERE node_type IN ('nation', 'supplier')) GROUP BY 1")
+@query("sink_project_json", "SELECT edge_type, count(*) AS n FROM edges GROUP BY 1")
 def _(t):
-    """Saved and loaded by type, which prunes folders; edges resolved."""
+    """The whole graph saved and loaded, edges resolved."""
     at = Rounds(t.spark, "graph").path
     store.save_graph(t.graph, at)
-    g = store.load_graph(t.spark, at, ["supplier", "nation"])
-    return g.edges.filter("source_id like 's:%'").groupBy("edge_type").agg(F.count("*").alias("n"))
-
-
-@query("sink_csv_records", "SELECT package, id, kind FROM classes")
-def _(t):
-    return t.classes.select("package", "id", "kind")
-
-
-@query("sink_graphml", "SELECT 1 AS part, '<node id=\"' || id || '\"/>' AS line FROM nodes WHERE node_type = 'nation' UNION ALL SELECT 2, '<edge source=\"' || source_id || '\" target=\"' || target_id || '\"/>' FROM edges WHERE source_id LIKE 'n:%'")
-def _(t):
-    return store.graphml_lines(Graph(t.nodes.filter("node_type = 'nation'"), t.edges.filter("source_id like 'n:%'")))
+    return store.load_graph(t.spark, at).edges.groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("sink_dot", "SELECT 1 AS part, '\"' || id || '\";' AS line FROM nodes WHERE node_type = 'nation' UNION ALL SELECT 2, '\"' || source_id || '\" -> \"' || target_id || '\";' FROM edges WHERE source_id LIKE 'n:%'")
+@query("sink_csv_records", "SELECT 'class' AS record, id AS name, package, kind, NULL::BIGINT AS classes FROM classes UNION ALL SELECT 'package', package, package, NULL, count(*) FROM classes GROUP BY package")
 def _(t):
-    return store.dot_lines(Graph(t.nodes.filter("node_type = 'nation'"), t.edges.filter("source_id like 'n:%'")))
+    """The CSV folders of class and package records, read back."""
+    at = Rounds(t.spark, "records").path
+    store.write_record_csv(t.classes, at)
+    return store.read_record_csv(t.spark, at)
 
 
-@query("sink_graphml_all", "SELECT 1 AS part, '<node id=\"' || id || '\"/>' AS line FROM nodes UNION ALL SELECT 2, '<edge source=\"' || source_id || '\" target=\"' || target_id || '\"/>' FROM edges")
+@query("sink_graphml", "SELECT 1 AS part, '<node id=\"' || id || '\"/>' AS line FROM nodes UNION ALL SELECT 2, '<edge source=\"' || source_id || '\" target=\"' || target_id || '\"/>' FROM edges")
 def _(t):
     return store.graphml_lines(t.graph)
 
 
-@query("sink_dot_all", "SELECT 1 AS part, '\"' || id || '\";' AS line FROM nodes UNION ALL SELECT 2, '\"' || source_id || '\" -> \"' || target_id || '\";' FROM edges")
+@query("sink_dot", "SELECT 1 AS part, '\"' || id || '\";' AS line FROM nodes UNION ALL SELECT 2, '\"' || source_id || '\" -> \"' || target_id || '\";' FROM edges")
 def _(t):
     return store.dot_lines(t.graph)
 

@@ -33,6 +33,24 @@ def write_pivoted_csv(nodes: DataFrame, path: str, node_types: Iterable[str]) ->
         pivoted(nodes, t, *pivot_columns(nodes, t)).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{t}")
 
 
+CLASS_RECORD, PACKAGE_RECORD = "name string, package string, kind string", "name string, classes long"
+
+
+def write_record_csv(classes: DataFrame, path: str) -> None:
+    """Inventory of classes (id, package, kind): a CSV folder of classes, one of packages with their numbers of classes."""
+    parts = {"classes": classes.select(F.col("id").alias("name"), "package", "kind"), "packages": classes.groupBy(F.col("package").alias("name")).agg(F.count("*").alias("classes"))}
+    for name, part in parts.items():
+        part.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+
+
+def read_record_csv(spark: SparkSession, path: str) -> DataFrame:
+    """record ('class' or 'package'), name, package, kind and classes of a written inventory; a package's kind and a class's classes are null."""
+    read = lambda name, schema: spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{path}/{name}")
+    c = read("classes", CLASS_RECORD).select(F.lit("class").alias("record"), "name", "package", "kind", F.lit(None).cast("long").alias("classes"))
+    p = read("packages", PACKAGE_RECORD).select(F.lit("package").alias("record"), "name", F.col("name").alias("package"), F.lit(None).cast("string").alias("kind"), "classes")
+    return c.unionByName(p)
+
+
 def write_graph_json(g: Graph, path: str) -> None:
     g.nodes.write.mode("overwrite").partitionBy("node_type").json(f"{path}/nodes")
     g.edges.write.mode("overwrite").partitionBy("edge_type").json(f"{path}/edges")
