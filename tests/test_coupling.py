@@ -1,6 +1,7 @@
 """Hand-computed coupling cases."""
 
 import random
+import threading
 
 import pytest
 
@@ -58,6 +59,37 @@ def test_random_graphs_and_sums(spark):
     assert all(0 <= r.instability <= 1 for r in d)
 
 
+def test_doubling_of_a_large_ring(spark):
+    n = 2000  # 4 million pairs; joined with each other they are 8 billion rows
+    e = spark.range(n).selectExpr("concat('n', id) source_id", f"concat('n', (id + 1) % {n}) target_id")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert cp.closure(e, "doubling").distinct().count() == n * (n - 1)
+    finally:
+        late.cancel()
+
+
+@pytest.mark.parametrize("thin", [0, 4])
+def test_doubling_by_edges_where_pairs_are_many(spark, monkeypatch, thin):
+    for name, value in {"THIN": thin, "CHEAP": 0, "WORDS": 1, "BITMAP": 100}.items():  # several blocks and partitions of numbers
+        monkeypatch.setattr(cp, name, value)
+    rng = random.Random(thin)
+    pairs = [(f"a{i}", f"a{rng.randrange(150)}") for i in range(150) for _ in range(2)] + [(f"b{i}", f"b{i + 1}") for i in range(20)] + [("b20", "a3"), ("b5", "b2"), ("a1", "a1"), (None, "a2"), ("a2", None)]
+    e = spark.createDataFrame(pairs, "source_id string, target_id string")
+    want, last = set(), {(a, b) for a, b in pairs if a and b}
+    while last:
+        want |= last
+        last = {(s, b) for s, m in last for a, b in pairs if a == m and b} - want
+    got = sorted(map(tuple, cp.closure(e, "doubling").collect()))
+    assert got == sorted((s, t) for s, t in want if s != t) and len(got) > 9000
+
+
+def test_doubling_without_edges(spark):
+    none = spark.createDataFrame([("a", "a"), (None, "b")], "source_id string, target_id string")
+    assert cp.closure(none, "doubling").collect() == []
+
+
 def test_inheritance(spark):
     n = spark.createDataFrame([(x,) for x in "abcdefxyz"], "id string")
     p = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("f", "d"), ("x", "y"), ("y", "x")], "id string, parent string")

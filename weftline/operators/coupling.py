@@ -37,34 +37,86 @@ def closure(edges: DataFrame, method: str = "frontier") -> DataFrame:
     """Distinct (source_id, target_id) with a path of one edge or more, without the pairs of a node with itself.
 
     `frontier` extends only the last round's new pairs by one edge: its joins make
-    |closure| * out-degree rows, over as many rounds as the longest shortest path.
-    `doubling` joins the relation with itself: log2 of those rounds, for long thin graphs
-    where a round's fixed cost dominates. Each round is a written table; its one count ends
-    the loop. Both end on cycles, because known pairs are taken out. Who needs numbers
-    instead of pairs takes `reach_counts`.
+    |closure| * out-degree rows, over as many rounds as the longest shortest path. Each
+    round is a written table; a look for new pairs ends the loop. Cycles end, because known
+    pairs are taken out. `doubling` doubles the length of the known paths in a round, on
+    bits: `_doubled`. Who needs numbers instead of pairs takes `reach_counts`.
     """
     if method not in ("frontier", "doubling"):
         raise ValueError(f"unknown method {method!r}")
     rounds = Rounds(edges.sparkSession, "closure")
     step = rounds.keep(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).filter("s is not null and t is not null and s != t").distinct(), "edges")
+    if method == "doubling":
+        return _doubled(step, rounds)
     known = new = step
     k = 0
     while True:
         k += 1
-        before = known if method == "doubling" else new
-        after = known if method == "doubling" else step
-        longer = before.toDF("s", "m").join(after.toDF("m", "t"), "m")
+        longer = new.toDF("s", "m").join(step.toDF("m", "t"), "m")
         new = rounds.keep(longer.filter("s != t").select("s", "t").distinct().join(known, ["s", "t"], "left_anti"), f"new-{k}")
         if new.isEmpty():
             break
-        if method == "doubling":
-            known = rounds.keep(known.union(new), f"all-{k}")
-            rounds.forget(f"all-{k - 1}")
-        else:
-            known = known.union(new)
+        known = known.union(new)
     return known.select(F.col("s").alias("source_id"), F.col("t").alias("target_id"))
 
 
+WORDS = 8  # of 64 bits in a row
+CHEAP = 1 << 24  # rows that a doubling join may always make
+THIN = 16  # pairs a node at one distance, up to which paths double
+
+
+def _doubled(step: DataFrame, rounds: Rounds) -> DataFrame:
+    """The closure of distinct edges (s, t) by doubling paths.
+
+    A row holds, for a node and a block of 64 * WORDS nodes that follow each other by id,
+    which of these are nearer than d (`near`) and which are at exactly d (`far`). A path of
+    more than d edges, up to 2d, has a node at d: so `far` pairs joined with the rows of
+    their target give all that is nearer than 2d, or at 2d; pairs already near are never
+    joined again. Where the pairs at d are too many for that (more than the edges, THIN a
+    node, and CHEAP rows), a round goes on by one edge before `far` rows instead, until they are
+    fewer. The number of pairs at d decides, and ends the loop; a round's table is deleted
+    after the next.
+    """
+    ends = rounds.keep(step.select("s").union(step.select("t")).distinct().toDF("id"), "ends")
+    nodes = ends.count()
+    ids = ends.repartitionByRange(nodes // BITMAP + 1, "id").sortWithinPartitions("id")
+    ids = rounds.keep(ids.select("id", F.monotonically_increasing_id().alias("no")), "ids")
+    pairs = step.join(ids.toDF("s", "from"), "s").join(ids.toDF("t", "m"), "t").select(F.col("from").alias("s"), "m")
+    pairs = rounds.keep(pairs, "pairs")
+    links = pairs.count()
+    near, far = ([f"{name}{i}" for i in range(WORDS)] for name in ("near", "far"))
+    none = [F.lit(0).cast("long")] * WORDS
+    own = [F.when(F.expr(f"m div 64 % {WORDS} = {i}"), F.expr("shiftleft(1L, cast(m % 64 as int))")).otherwise(none[i]) for i in range(WORDS)]
+    bits = pairs.groupBy("s", F.expr(f"m div {64 * WORDS}").alias("block")).agg(*(F.bit_or(x).alias(c) for x, c in zip(own, far)))
+    bits = rounds.keep(bits.select("s", "block", *(x.alias(c) for x, c in zip(none, near)), *far), "bits-0")
+    k = 0
+    while at_d := (size := bits.agg(F.count("*").alias("rows"), F.sum(sum(F.bit_count(c).cast("long") for c in far)).alias("far")).first()).far:
+        k += 1
+        if at_d <= max(links, THIN * nodes, CHEAP * nodes // size.rows):
+            left, right = _set_bits(bits, far), bits.select(F.col("s").alias("m"), "block", *near, *far)
+        else:
+            some = bits.filter(" or ".join(f"{c} != 0" for c in far))
+            left, right = pairs, some.select(F.col("s").alias("m"), "block", *(x.alias(c) for x, c in zip(none, near)), *far)
+        via = left.join(right.hint("merge"), "m").select("s", "block", *near, *far)
+        old = bits.select("s", "block", *(F.col(n).bitwiseOR(F.col(f)).alias(n) for n, f in zip(near, far)), *(x.alias(c) for x, c in zip(none, far)))
+        all_ = via.union(old).groupBy("s", "block").agg(*(F.bit_or(c).alias(c) for c in near + far))
+        bits = rounds.keep(all_.select("s", "block", *near, *(F.col(f).bitwiseAND(F.bitwise_not(n)).alias(f) for n, f in zip(near, far))), f"bits-{k}")
+        rounds.forget(f"bits-{k - 1}")
+    for name in ("edges", "ends", "pairs"):
+        rounds.forget(name)
+    found = bits.agg(F.sum(sum(F.bit_count(c).cast("long") for c in near))).first()[0] or 0
+    spread = bits.repartition(found // (1 << 18) + 1, "s", "block")  # a row becomes up to 64 * WORDS pairs
+    named = spread.join(ids.toDF("source_id", "s"), "s")
+    return _set_bits(named, near, "source_id").join(ids.toDF("target_id", "m"), "m").select("source_id", "target_id")
+
+
+def _set_bits(bits: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """A row (s, m, more) for each bit, without those of a node for itself."""
+    words = bits.select("s", *more, "block", F.posexplode(F.array(*names)).alias("word", "x")).filter("x != 0")
+    each = words.select("s", *more, F.expr(f"(block * {WORDS} + word) * 64").alias("first"), "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    return each.filter("getbit(x, bit) = 1").select("s", *more, (F.col("first") + F.col("bit")).alias("m")).filter("s != m")
+
+
 BITMAP = 1 << 15
 
 
