@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.scratch import Rounds
@@ -80,7 +80,10 @@ def _doubled(step: DataFrame, rounds: Rounds) -> DataFrame:
     ends = rounds.keep(step.select("s").union(step.select("t")).distinct().toDF("id"), "ends")
     nodes = ends.count()
     ids = ends.repartitionByRange(nodes // BITMAP + 1, "id").sortWithinPartitions("id")
-    ids = rounds.keep(ids.select("id", F.monotonically_increasing_id().alias("no")), "ids")
+    places = rounds.keep(ids.select("id", F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33)), "places")
+    sizes = places.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for BITMAP nodes
+    ids = rounds.keep(places.join(starts, "part").select("id", (F.col("start") + F.col("place") % (1 << 33)).alias("no")), "ids")  # without gaps
     pairs = step.join(ids.toDF("s", "from"), "s").join(ids.toDF("t", "m"), "t").select(F.col("from").alias("s"), "m")
     pairs = rounds.keep(pairs, "pairs")
     links = pairs.count()
@@ -102,7 +105,7 @@ def _doubled(step: DataFrame, rounds: Rounds) -> DataFrame:
         all_ = via.union(old).groupBy("s", "block").agg(*(F.bit_or(c).alias(c) for c in near + far))
         bits = rounds.keep(all_.select("s", "block", *near, *(F.col(f).bitwiseAND(F.bitwise_not(n)).alias(f) for n, f in zip(near, far))), f"bits-{k}")
         rounds.forget(f"bits-{k - 1}")
-    for name in ("edges", "ends", "pairs"):
+    for name in ("edges", "ends", "places", "pairs"):
         rounds.forget(name)
     found = bits.agg(F.sum(sum(F.bit_count(c).cast("long") for c in near))).first()[0] or 0
     spread = bits.repartition(found // (1 << 18) + 1, "s", "block")  # a row becomes up to 64 * WORDS pairs
